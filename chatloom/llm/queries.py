@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .jaccard_join import op10_jaccard_join
+from .lattice import op7_lattice_score
+from .packing import op8_best_fit_packing
 
 QUERIES = {
+    "op7_lattice_score": op7_lattice_score,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
