@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .jaccard_join import op10_jaccard_join
+from .language_id import op3_language_id
 from .lattice import op7_lattice_score
 from .packing import op8_best_fit_packing
+from .quality import op6_quality_classifier
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_lattice_score": op7_lattice_score,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
