@@ -6,14 +6,19 @@ from .jaccard_join import op10_jaccard_join
 from .language_id import op3_language_id
 from .lattice import op7_lattice_score
 from .packing import op8_best_fit_packing
+from .licenses import op4_license_scan
 from .quality import op6_quality_classifier
+from .warc import ORACLE as WARC_SQL
+from .warc import op5_warc_from_arc
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
+    "op5_warc_from_arc": op5_warc_from_arc,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_lattice_score": op7_lattice_score,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc_from_arc": WARC_SQL}
