@@ -40,6 +40,8 @@ BLOCK = 1000
 ORDER_SAMPLE, ORDER_COUNT = 16, 12
 #: Most shingles that are moved to the end of the order: a bound for what is broadcast, not for what is compared.
 ORDER_LIMIT = 500_000
+#: Rows of two numbers that are broadcast at most; more are a shuffled join.
+BROADCAST_ROWS = 300_000
 
 
 def links(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -70,7 +72,7 @@ def bitmap(one: np.ndarray) -> np.ndarray:
 
 
 def _base_rows(frequent: np.ndarray):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -95,7 +97,7 @@ def _base_rows(frequent: np.ndarray):
                             head = rare[:p] if len(rare) >= p else np.concatenate([rare, np.setdiff1d(one, rare, assume_unique=True)[: p - len(rare)]])
                     keys.append(head.astype(np.int64))
                     bits.append(bitmap(one).tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=schema)
 
     return run
 
@@ -264,15 +266,15 @@ def _block_pairs(x: pd.DataFrame) -> pd.DataFrame:
 
 
 def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, n_shingles, fp (id of the distinct set, null if empty), component_id of every row of docs (doc_id, text, ...).
+    """doc_id, mark (hash of the text), n_shingles, fp (id of the distinct set, null if empty), root (of the component), component_id of every row of docs (doc_id, text, ...).
 
     component_id is the smallest doc_id that links reach; rows without a set get their own doc_id.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     frequent = frequent_shingles(docs)
-    base = work.save(docs.mapInArrow(_base_rows(frequent), "doc_id long, n long, fp long, keys array<long>, bits binary"), "base")
+    base = work.save(docs.mapInArrow(_base_rows(frequent), "doc_id long, mark long, n long, fp long, keys array<long>, bits binary"), "base")
     nodes = work.save(base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "nodes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -297,9 +299,37 @@ def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFr
     roots = work.save(connected_components(first.union(second), work, "roots2"), "roots2")
     smallest = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "root", "rep")
     lowest = smallest.groupBy("root").agg(F.min("rep").alias("component_id"))
-    placed = smallest.join(lowest, "root").select("fp", "component_id")
-    rows = base.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(placed, "fp", "left")
-    return rows.select("doc_id", "n_shingles", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = smallest.join(lowest, "root").select("fp", "root", "component_id")
+    rows = base.select("doc_id", "mark", F.col("n").alias("n_shingles"), "fp").join(placed, "fp", "left")
+    return rows.select("doc_id", "mark", "n_shingles", "fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """The rows of docs, as they are, without all but one of each component: the smallest doc_id, then the smallest hash of the text.
+
+    Rows without a set stay. A null doc_id counts as larger than any other; of repeated rows one stays.
+    """
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "one-of-each")
+    found = work.save(jaccard_components(docs, work), "components").where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    kept = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    shared = kept.where("size > 1").select("root", "best")
+    others = found.select("root", "doc_id", "mark").join(shared, "root")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    gone = work.save(others.where(~is_best).select("doc_id", "mark").distinct(), "gone")
+    repeated = work.save(others.where(is_best).groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"), "repeated")
+    bound = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    mark = "mark"
+    while mark in docs.columns:
+        mark += "_"
+    docs = docs.withColumn(mark, F.xxhash64("text"))
+    same = lambda x: docs["doc_id"].eqNullSafe(x["doc_id"]) & (docs[mark] == x["mark"])
+    left = docs.join(bound(gone), same(gone), "left_anti")
+    if repeated.isEmpty():
+        return left.drop(mark)
+    again = left.join(bound(repeated), same(repeated), "left_semi").dropDuplicates(["doc_id", mark])
+    return left.join(bound(repeated), same(repeated), "left_anti").unionByName(again).drop(mark)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:

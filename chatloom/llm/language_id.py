@@ -293,6 +293,19 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean, bits_per_char double")
 
 
+def accepted_documents(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of docs that are in a learned language, as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buffer, begins in text_slices(batch):
+                if held.value.languages:
+                    yield rows.filter(pa.array(held.value.predict(*held.value.text_bits(buffer, begins))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 

@@ -8,6 +8,7 @@ from .decontaminate import op9_decontaminate
 from .jaccard_join import op10_jaccard_join
 from .language_id import op3_language_id
 from .lattice import op7_lattice_score
+from .nearest import op1_multi_index_hashing
 from .packing import op8_best_fit_packing
 from .licenses import op4_license_scan
 from .quality import op6_quality_classifier
@@ -15,6 +16,7 @@ from .warc import ORACLE as WARC_SQL
 from .warc import op5_warc_from_arc
 
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_chat_windows": op2_chat_windows,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
