@@ -1 +1 @@
-"""Part of chatloom."""
+"""Scalar functions on columns."""

@@ -1 +1 @@
-"""Part of chatloom."""
+"""Operators over messages, conversations and exports."""

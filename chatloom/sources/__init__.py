@@ -1 +1 @@
-"""Part of chatloom."""
+"""Readers of captured pages, payloads and exports, and writers."""
