@@ -40,13 +40,15 @@ ID_PATHS = {
     "doubao": "/(?:bot/chat|chat|conversation|thread)/([A-Za-z0-9_-]+)",
 }
 ID_PARAMETERS = ("conversation_id", "conversationId", "chat_session_id", "chat_id")
+# Addresses that serve conversation payloads, by platform.
+_GENERIC_ENDPOINT = r"(?i)^(?=.*/(?:api|rest|web-api|samantha|alice|bot|conversation|chat|im|agent)/).*(?:conversation|chat|history|message|thread|session|chain|samantha|alice|bot)"
 ENDPOINTS = {
-    "chatgpt": r"/backend-api/conversations?(?:/|\?|$)",
-    "claude": r"/api/organizations/[^/]+/chat_conversations",
-    "gemini": r"/_/BardChatUi/data/|batchexecute|StreamGenerate",
-    "grok": r"/rest/app-chat/(?:conversations|share)|/conversations/[^/]+/(?:responses|load-responses|response-node)",
-    "deepseek": r"/api/v[0-9]+/chat(?:_session)?/",
-    "doubao": r"/(?:samantha|im|alice)/",
+    "chatgpt": r"(?i)/backend-api/conversations?(?:/|[?]|$)|/backend-api/gizmos/[^/]+/conversations(?:[?]|$)",
+    "claude": r"(?i)/api/organizations/[^/]+/chat_conversations",
+    "gemini": r"(?i)batchexecute|/data/|BardChat",
+    "grok": r"(?i)/(?:rest|api)/.*(?:conversation|chat|history|thread)|/c/[a-f0-9-]{30,}",
+    "deepseek": _GENERIC_ENDPOINT,
+    "doubao": _GENERIC_ENDPOINT,
 }
 
 

@@ -1 +1 @@
-"""Part of chatloom."""
+"""What is registered, and the same in SQL."""

@@ -1 +1 @@
-"""Part of chatloom."""
+"""Stateful operators over streams of captured events."""
