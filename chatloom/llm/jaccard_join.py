@@ -8,7 +8,7 @@ distinct shingle sets, so exact copies meet in one node before anything is compa
    sets that link share one of the first n - ceil(0.75 n) + 1 shingles of each.
 2. A tile holds the sets that share such a shingle, sorted by size, hence in size bands. Tiles of up
    to SMALL_TILE sets give every pair whose sizes allow a link. Larger tiles give each set's pair with
-   its band's first set.
+   its band's first set, and one in NEIGHBOUR_TILES of them the pair with the set before it.
 3. A pair is compared by bitmaps first: each bit of one that the other lacks is a shingle the other
    lacks, which bounds the overlap from above. Survivors are intersected as sorted arrays.
 4. Sets of large tiles that the links so far leave in different components are compared pair by
@@ -36,6 +36,7 @@ PERCENT = 75
 WIDTH = 5
 SMALL_TILE = 12
 BLOCK = 1000
+NEIGHBOUR_TILES = np.uint64(4)
 #: One document in so many is counted to find frequent shingles, and a shingle in so many of those counts as frequent.
 ORDER_SAMPLE, ORDER_COUNT = 16, 12
 #: Most shingles that are moved to the end of the order: a bound for what is broadcast, not for what is compared.
@@ -162,6 +163,10 @@ def _tile_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = own[fp[own] != leader[1]]
                 yield 0, h[own], np.full(len(own), leader[1], np.int64), fp[own], n[own]
                 i = to
+            if mix(h[lo : lo + 1].astype(np.uint64))[0] % NEIGHBOUR_TILES == 0:
+                i = np.arange(lo + 1, hi)
+                i = i[sizes_allow(n[i - 1], n[i]) & (fp[i - 1] != fp[i])]
+                yield 0, h[i], fp[i - 1], fp[i], n[i]
             yield 1, h[lo:hi], fp[lo:hi], fp[lo:hi], n[lo:hi]
         large = int(h[-1]) if more and (big[-1]) else None
 
