@@ -294,7 +294,7 @@ def content_structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.derived(spark, sf_dir, _MARKED, "documents").select("doc_id", t.structure_score("md").cast("int").alias("score"))
 
 
-_CODE = "SELECT doc_id, concat(text, chr(10), CASE doc_id % 5 WHEN 0 THEN '  int main(void) {' WHEN 1 THEN 'def f(x):' WHEN 2 THEN 'git status' WHEN 3 THEN 'print (1)' ELSE 'x = 1' END) AS code FROM documents"
+_CODE = "SELECT doc_id, concat(text, chr(10), CASE doc_id % 5 WHEN 0 THEN '  int main(void)' WHEN 1 THEN 'def f(x):' WHEN 2 THEN 'git status' WHEN 3 THEN 'print (1)' ELSE 'x = 1' END) AS code FROM documents"
 
 
 @query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'c' WHEN 1 THEN 'python' WHEN 2 THEN 'bash' WHEN 3 THEN 'python' ELSE '' END AS language FROM ({_CODE}) c")
@@ -535,7 +535,7 @@ def stream_earliest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet")
     raw = spark.sql(d.RAW_TIMES_SPARK.replace("FROM events", "FROM {events}"), events=stream)
     x = raw.select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("conversation_id"), F.lit("ChatGPT").alias("platform"), F.col("raw").alias("timestamp"), F.concat(F.lit("title "), F.col("event_id").cast("string")).alias("title"), F.col("raw").alias("updated_at"))
-    q = state.stream_earliest_times(x).writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(state.upsert_sink(f"{root}/times", ["conversation_id"])).trigger(availableNow=True).start()
+    q = state.stream_earliest_times(x, expires=False).writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(state.upsert_sink(f"{root}/times", ["conversation_id"])).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.option("basePath", f"{root}/times").parquet(f"{root}/times").drop("batch")
     newest = rows.groupBy("conversation_id").agg(F.max_by(F.struct("timestamp", "title", "updated_at"), "cached_at").alias("r"))

@@ -39,8 +39,8 @@ def earliest_times(events: DataFrame) -> DataFrame:
     return x.groupBy("conversation_id").agg(F.min_by("platform", F.struct("timestamp", "ord")).alias("platform"), F.min("timestamp").alias("timestamp"), first("title"), last("updated_at"))
 
 
-def _fold_times(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+def _fold_times(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expires: bool) -> Iterator[pd.DataFrame]:
+    if expires and state.hasTimedOut:
         state.remove()
         return
     time, platform, title, updated = state.get if state.exists else (None, "", "", "")
@@ -50,14 +50,18 @@ def _fold_times(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
                 time, platform = r.timestamp, r.platform
             title, updated = title or r.title or "", r.updated_at or updated
     state.update((time, platform, title, updated))
-    state.setTimeoutDuration(TTL_MS)
+    if expires:
+        state.setTimeoutDuration(TTL_MS)
     yield pd.DataFrame({"conversation_id": [key[0]], "platform": [platform], "timestamp": [time], "title": [title], "updated_at": [updated]})
 
 
-def stream_earliest_times(events: DataFrame) -> DataFrame:
-    """earliest_times() of a stream, in update mode: a row per conversation that a batch touched."""
+def stream_earliest_times(events: DataFrame, expires: bool = True) -> DataFrame:
+    """earliest_times() of a stream, in update mode: a row per conversation that a batch touched.
+
+    Expiry by processing time keeps a query open for ever; for one that ends with its input, turn it off.
+    """
     x = events.withColumn("timestamp", normalize_timestamp("timestamp")).where("conversation_id <> '' and timestamp <> ''")
-    return x.groupBy("conversation_id").applyInPandasWithState(_fold_times, _TIMES, _TIME_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return x.groupBy("conversation_id").applyInPandasWithState(lambda key, frames, held: _fold_times(key, frames, held, expires), _TIMES, _TIME_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout)
 
 
 def longest_conversations(events: DataFrame) -> DataFrame:
