@@ -16,8 +16,13 @@ from ..functions.text import compact_markdown, first_meaningful_line, is_generic
 ROLES = ("user", "assistant", "system")
 SHORTEST_CONTAINED, LONGER_BY = 24, 24
 
-_RUN = W.partitionBy("conv_id").orderBy("seq")
-_UPTO = _RUN.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+def _run():
+    return W.partitionBy("conv_id").orderBy("seq")
+
+
+def _upto():
+    return _run().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def valid_messages(m: DataFrame) -> DataFrame:
@@ -27,28 +32,28 @@ def valid_messages(m: DataFrame) -> DataFrame:
 
 def turn_numbers(m: DataFrame) -> DataFrame:
     """Adds turn_number: a user message opens a turn, and so does whatever else comes first."""
-    users = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(_UPTO)
-    leads = F.when(F.coalesce(F.first("role").over(_UPTO), F.lit("")) != "user", 1).otherwise(0)
+    users = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(_upto())
+    leads = F.when(F.coalesce(F.first("role").over(_upto()), F.lit("")) != "user", 1).otherwise(0)
     return m.withColumn("turn_number", (users + leads).cast("long"))
 
 
 def alternating_roles(m: DataFrame) -> DataFrame:
     """Fills null roles by turns from the last given one, user first."""
-    given = F.last("role", ignorenulls=True).over(_UPTO)
-    since = F.col("at") - F.coalesce(F.last(F.when(F.col("role").isNotNull(), F.col("at")), ignorenulls=True).over(_UPTO), F.lit(-1))
-    m = m.withColumn("at", F.row_number().over(_RUN) - 1)
+    given = F.last("role", ignorenulls=True).over(_upto())
+    since = F.col("at") - F.coalesce(F.last(F.when(F.col("role").isNotNull(), F.col("at")), ignorenulls=True).over(_upto()), F.lit(-1))
+    m = m.withColumn("at", F.row_number().over(_run()) - 1)
     flips = F.when(F.coalesce(given, F.lit("assistant")) == "user", since % 2 == 0).otherwise(since % 2 == 1)
     return m.withColumn("role", F.coalesce("role", F.when(flips, F.lit("user")).otherwise(F.lit("assistant")))).drop("at")
 
 
 def parity_roles(m: DataFrame) -> DataFrame:
     """Roles by place alone: user, assistant, user, ..."""
-    return m.withColumn("role", F.when(F.pmod(F.row_number().over(_RUN) - 1, F.lit(2)) == 0, "user").otherwise("assistant"))
+    return m.withColumn("role", F.when(F.pmod(F.row_number().over(_run()) - 1, F.lit(2)) == 0, "user").otherwise("assistant"))
 
 
 def merge_adjacent(m: DataFrame) -> DataFrame:
     """Neighbours of one role become one message: texts with a blank line between, the first time that there is."""
-    m = m.withColumn("island", F.sum((F.col("role") != F.coalesce(F.lag("role").over(_RUN), F.lit(""))).cast("int")).over(_UPTO))
+    m = m.withColumn("island", F.sum((F.col("role") != F.coalesce(F.lag("role").over(_run()), F.lit(""))).cast("int")).over(_upto()))
     time = F.col("time") if "time" in m.columns else F.lit("")
     rows = F.array_sort(F.collect_list(F.struct("seq", text("content").alias("content"), text(time).alias("time"))))
     out = m.groupBy("conv_id", "island", "role").agg(rows.alias("rows"))
@@ -58,11 +63,11 @@ def merge_adjacent(m: DataFrame) -> DataFrame:
 
 def merge_continuations(m: DataFrame) -> DataFrame:
     """Neighbouring assistant messages to everyone become one, without anything between them."""
-    joins = (F.col("role") == "assistant") & (F.lag("role").over(_RUN) == "assistant")
+    joins = (F.col("role") == "assistant") & (F.lag("role").over(_run()) == "assistant")
     if "recipient" in m.columns:
         open_ = lambda c: F.coalesce(c, F.lit("all")) == "all"
-        joins = joins & open_(F.col("recipient")) & open_(F.lag("recipient").over(_RUN))
-    m = m.withColumn("island", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(_UPTO))
+        joins = joins & open_(F.col("recipient")) & open_(F.lag("recipient").over(_run()))
+    m = m.withColumn("island", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(_upto()))
     rows = F.array_sort(F.collect_list(F.struct("seq", text("content").alias("content"))))
     out = m.groupBy("conv_id", "island", "role").agg(rows.alias("rows"))
     return out.select("conv_id", F.col("rows")[0]["seq"].alias("seq"), "role", F.array_join(F.transform("rows", lambda r: r["content"]), "").alias("content"))
@@ -155,7 +160,7 @@ def role_diversity(m: DataFrame) -> DataFrame:
 
 def conversation_scores(m: DataFrame) -> DataFrame:
     """How much a set of messages looks like a dialogue: pairs, changes of role, length, balance."""
-    m = m.withColumn("turned", F.coalesce((F.col("role") != F.lag("role").over(_RUN)).cast("int"), F.lit(0)))
+    m = m.withColumn("turned", F.coalesce((F.col("role") != F.lag("role").over(_run())).cast("int"), F.lit(0)))
     c = m.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"), F.sum("turned").alias("transitions"))
     pairs = F.least("users", "assistants")
     length = F.least("n", F.when(pairs > 0, pairs * 2 + 2).otherwise(3))

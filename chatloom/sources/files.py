@@ -26,7 +26,7 @@ def _file_columns(path, relative):
 
 def scan_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """filename, relative_path, basename, platform_folder, markdown of all .md files below folder."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(folder)
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mM][dD]")
     path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     base = folder.rstrip("/").split("://")[-1].lstrip("/")
     relative = F.substr(path, F.instr(path, base) + F.lit(len(base) + 1))
