@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
+LINKS_PER_TASK = 1_000_000
+
 
 def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the component's smallest node.
@@ -15,12 +17,13 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
     a step aggregates a minimum per node, then joins it back, and gathers no neighbour list.
     """
     edges = work.save(_directed(links), f"{name}-0")
+    few = max(8, -(-edges.count() // LINKS_PER_TASK))  # a round never makes links; tasks for as many as there are
     k, before = 0, None
     while True:
         large = _star(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), keep_larger=True)
-        small = _star(_directed(large).select(F.col("b").alias("u"), F.col("a").alias("v")), keep_larger=False)
+        down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         k += 1
-        edges = work.save(_directed(small), f"{name}-{k}")
+        edges = work.save(_directed(_star(down, keep_larger=False)).coalesce(few), f"{name}-{k}")
         state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if k > 1:
             work.drop(f"{name}-{k - 1}")

@@ -301,8 +301,12 @@ def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFr
     more = held.groupBy("h", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
     second = _verified(docs, nodes, more, work, "second")
 
-    roots = work.save(connected_components(first.union(second), work, "roots2"), "roots2")
     smallest = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "root", "rep")
+    if not second.isEmpty():  # links between components: the components' roots are the nodes now
+        up = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        joined = second.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        above = work.save(connected_components(joined, work, "roots2"), "roots2").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        smallest = smallest.join(above, "root", "left").select("fp", F.coalesce("top", "root").alias("root"), "rep")
     lowest = smallest.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = smallest.join(lowest, "root").select("fp", "root", "component_id")
     rows = base.select("doc_id", "mark", F.col("n").alias("n_shingles"), "fp").join(placed, "fp", "left")
