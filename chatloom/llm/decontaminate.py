@@ -1,17 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased. A seed is the hash of the words at the marked
-places of a mask laid over SPAN words; the places between are ignored, so that a seed survives
-substitutions there. Every seed of the benchmark items meets the documents' seeds at every STRIDE-th
-word; an item of a few words more than SPAN still has several. Each hit names a text, an item and the
-offset between them, and around it the item is laid over the document: with L = the item's words, at
-most WINDOW, a text is contaminated where L words in a row of the item agree with the document in at
-least SIMILARITY of the places. The best such place is reported per text and item.
+places of a mask; the places between are ignored, so that a seed survives substitutions there. Every
+seed of the benchmark items meets the documents' seeds at every word. Each hit names a text, an item
+and the offset between them, and around it the item is laid over the document: with L = the item's
+words, at most WINDOW, a text is contaminated where L words in a row of the item agree with the
+document in at least SIMILARITY of the places. The masks are chosen so that every such agreement of
+SPAN to WINDOW words holds a whole seed (a test goes through all of them), so none is missed. The
+best such place is reported per text and item.
 
 Items of fewer than SPAN words have one seed of all their words and so match word for word; items
 of fewer than SHORTEST words are not searched, since they stand in many clean texts. A text is known by a hash of
 itself, so copies are verified together and repeated rows, null or repeated doc_ids each get their
-own text's result. Null or empty texts and items match nothing.
+own text's result. Null texts and items, and those without words, match nothing.
 
 The benchmark's seeds are broadcast up to BROADCAST_SEEDS of them, and the hashes of texts with hits
 up to BROADCAST_TEXTS; beyond that both are shuffled joins.
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-MASKS = ("11010011", "10110101")
+MASKS = ("11101", "100111", "1101001")
 SPAN = 8
-STRIDE = 2
 WINDOW = 20
 SIMILARITY = 0.75
 SHORTEST = 5
@@ -40,65 +40,64 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seed(words: str, mask: int, at: Column) -> Column:
+    """Null where the mask does not fit."""
     marked = [k for k, c in enumerate(MASKS[mask]) if c == "1"]
-    return F.xxhash64(F.lit(mask), *(F.get(words, at + k) for k in marked))
+    return F.when(at + len(MASKS[mask]) <= F.size(words), F.xxhash64(F.lit(mask), *(F.get(words, at + k) for k in marked)))
 
 
 def _short_seed(words: str, length: int, at: Column) -> Column:
-    return F.xxhash64(F.lit(-length), *(F.get(words, at + k) for k in range(length)))
+    return F.when((at + length <= F.size(words)), F.xxhash64(F.lit(-length), *(F.get(words, at + k) for k in range(length))))
 
 
-def _places(words: str, length: int, stride: int) -> Column:
-    last = F.size(words) - length
-    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def _seeds_at_every_word(texts: DataFrame, kept: list[str], lengths: list[int]) -> DataFrame:
+    """seed, place and the kept columns of every seed of texts (words, ...), short ones of these lengths.
+
+    The places are exploded first and hashed then, which Spark compiles; lambdas over arrays are interpreted.
+    """
+    at = texts.select(*kept, "words", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))).alias("place"))
+    seeds = [_seed("words", m, F.col("place")) for m in range(len(MASKS))] + [_short_seed("words", n, F.col("place")) for n in lengths]
+    return at.select(*kept, "place", F.explode_outer(F.array(*seeds)).alias("seed"))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """seed, item_id, place of every seed of items (item_id, words)."""
-    size = F.size("words")
-    laid = lambda m: F.transform(_places("words", SPAN, 1), lambda i: F.struct(_seed("words", m, i).alias("seed"), i.alias("place")))
-    kinds = [F.when(size >= SPAN, laid(m)) for m in range(len(MASKS))]
-    short = [F.when(size == n, F.array(F.struct(_short_seed("words", n, F.lit(0)).alias("seed"), F.lit(0).alias("place")))) for n in range(SHORTEST, SPAN)]
-    none = F.array().cast("array<struct<seed: bigint, place: int>>")
-    return items.withColumn("s", F.explode(F.concat(*(F.coalesce(k, none) for k in kinds + short)))).select("s.seed", "item_id", "s.place")
+    """seed, item, place of every seed of items (item, words)."""
+    long = _seeds_at_every_word(items.where(F.size("words") >= SPAN), ["item"], [])
+    short = [items.where(F.size("words") == n).select("item", F.lit(0).alias("place"), _short_seed("words", n, F.lit(0)).alias("seed")) for n in range(SHORTEST, SPAN)]
+    for x in short:
+        long = long.unionByName(x)
+    return long.where("seed is not null").select("seed", "item", "place")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None) -> DataFrame:
     """text_hash, item_id, first_word, n_words, n_matched, similarity: a row per contaminated text of docs (text, ...) and item of benchmark (item_id, text)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "leaks")
-    items = work.save(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST).distinct(), "items")
+    listed = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words"))
+    listed = work.save(listed.where(F.size("words") >= SHORTEST).withColumn("item", F.xxhash64("words")).distinct(), "listed")
+    items = work.save(listed.select("item", "words").dropDuplicates(["item"]), "items")
+    ids = listed.select("item", "item_id")
     seeds = work.save(item_seeds(items), "seeds")
-    lengths = [r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()]  # at most SPAN - SHORTEST numbers
+    lengths = sorted(r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # at most SPAN - SHORTEST numbers
 
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), "text")
-    hashed = texts.select("text_hash", word_hashes(F.col("text")).alias("words"))
-    long_seeds = lambda m: F.transform(_places("words", SPAN, STRIDE), lambda i: _seed("words", m, i))
-    short_seeds = lambda n: F.transform(_places("words", n, 1), lambda i: _short_seed("words", n, i))
-    steps = [long_seeds(m) for m in range(len(MASKS))] + [short_seeds(n) for n in sorted(lengths)]
-    spans = [(SPAN, STRIDE)] * len(MASKS) + [(n, 1) for n in sorted(lengths)]
-    laid = hashed.select("text_hash", F.size("words").alias("size"), F.posexplode(F.concat(*steps)).alias("k", "seed"))
-    held = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    hits = laid.join(held, "seed")
-    begin, place = F.lit(0), None
-    for span, stride in spans:  # back from the number of a seed to its word
-        count = F.when(F.col("size") >= span, F.floor((F.col("size") - span) / stride) + 1).otherwise(0)
-        here = (F.col("k") - begin) * stride
-        place = F.when(F.col("k") < begin + count, here) if place is None else place.when(F.col("k") < begin + count, here)
-        begin = begin + count
-    candidates = work.save(hits.select("text_hash", "item_id", (place - F.col("place")).cast("int").alias("shift")).distinct(), "candidates")
+    laid = _seeds_at_every_word(texts.select("text_hash", word_hashes(F.col("text")).alias("words")), ["text_hash"], lengths)
+    held = seeds.withColumnRenamed("place", "item_place")
+    hits = laid.join(F.broadcast(held) if seeds.count() <= BROADCAST_SEEDS else held, "seed")
+    candidates = work.save(hits.select("text_hash", "item", (F.col("place") - F.col("item_place")).cast("int").alias("shift")).distinct(), "candidates")
 
     wanted = candidates.select("text_hash").distinct()
     some = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
     some = some.select("text_hash", word_hashes(F.col("text")).alias("words"))
-    paired = candidates.join(items.withColumnRenamed("words", "item"), "item_id").join(some, "text_hash")
-    same = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.coalesce((F.when(F.col("shift") + j >= 0, F.get("words", F.col("shift") + j)) == F.get("item", j)).cast("int"), F.lit(0)))
-    paired = paired.select("text_hash", "item_id", "shift", F.size("item").alias("length"), same.alias("same"))
-    sums = F.transform("same", lambda _, j: F.aggregate(F.slice("same", F.lit(1), j + 1), F.lit(0), lambda a, b: a + b))
-    n = F.least("length", F.lit(WINDOW))
-    paired = paired.withColumn("n", n).withColumn("sums", F.concat(F.array(F.lit(0)), sums))
-    window = F.transform(F.sequence(F.lit(0), F.col("length") - F.col("n")), lambda s: F.struct((F.get("sums", s + F.col("n")) - F.get("sums", s)).alias("matched"), (-s).alias("back")))
-    placed = paired.select("text_hash", "item_id", "shift", "n", F.array_max(window).alias("best")).where(F.col("best.matched") >= F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.col("n") * SIMILARITY))
+    paired = candidates.join(items.withColumnRenamed("words", "item_words"), "item").join(some, "text_hash")
+    same = F.transform("item_words", lambda w, j: F.coalesce((F.when(F.col("shift") + j >= 0, F.get("words", F.col("shift") + j)) == w).cast("int"), F.lit(0)))
+    length = F.size("item_words")
+    n = F.least(length, F.lit(WINDOW))
+    least = F.when(n < SPAN, n).otherwise(F.ceil(n * SIMILARITY))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    windows = lambda q: F.array_max(F.transform(F.sequence(F.lit(0), length - n), lambda s: F.struct(total(F.slice(q, s + 1, n)).alias("matched"), (-s).alias("back"))))
+    best = F.get(F.transform(F.array(same), lambda q: F.when(total(q) >= least, windows(q))), F.lit(0))  # a lambda's variable, so that it is computed once
+    placed = work.save(paired.select("text_hash", "item", "shift", n.alias("n"), least.alias("least"), best.alias("best")), "placed")  # saved before the filter, which would compute it again
+    placed = placed.where("best.matched >= least").join(ids, "item")
     best = placed.groupBy("text_hash", "item_id").agg(F.max(F.struct((F.col("best.matched") / F.col("n")).alias("similarity"), (-(F.col("shift") - F.col("best.back"))).alias("place"), "n", F.col("best.matched").alias("matched"))).alias("b"))
     return work.save(best.select("text_hash", "item_id", (-F.col("b.place")).cast("long").alias("first_word"), F.col("b.n").cast("long").alias("n_words"), F.col("b.matched").cast("long").alias("n_matched"), F.col("b.similarity").alias("similarity")), "leaks")
 

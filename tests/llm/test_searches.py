@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -132,3 +133,40 @@ def test_leaks_by_shuffled_joins_too(docs, spark, texts, monkeypatch, limit):
     assert kept.columns == docs.columns and kept.where("doc_id = 99").count() == 0
     assert decontaminate.clean_documents(docs.limit(0), items).count() == 0
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == docs.count()
+
+
+def test_masks_meet_every_agreement_that_counts():
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        laid = [sum(1 << k + at for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n - -(-3 * n // 4)):
+            gone = sum(1 << k for k in changed)
+            assert any(not m & gone for m in laid), (n, changed)
+
+
+def test_substituted_items_at_any_word_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(300)]
+    items = {n: [rng.choice(vocabulary) for _ in range(n)] for n in [*range(8, 21), 33]}
+    texts = []
+    for n, words in items.items():
+        for offset in (0, 1, 6, 7):
+            for changed in {0, 1, n // 4, n // 4 + 1}:
+                copy = list(words)
+                for k in rng.sample(range(n), changed):
+                    copy[k] = "changed"
+                texts.append([f"f{rng.randrange(10**6)}" for _ in range(offset)] + copy + ["end"] * rng.randint(0, 3))
+        texts.append(words[n // 4 :] + ["cut"])
+    best = {}
+    for i, text in enumerate(texts):
+        for n, words in items.items():
+            size = min(n, 20)
+            for shift in range(-n, len(text)):
+                same = [0 <= shift + j < len(text) and text[shift + j] == w for j, w in enumerate(words)]
+                for s in range(n - size + 1):
+                    matched = sum(same[s : s + size])
+                    if matched >= 0.75 * size:
+                        best[i, n] = max(best.get((i, n), (0, -(10**6))), (matched, -(shift + s)))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = decontaminate.leaks_by_document(docs, spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_matched, -r.first_word) for r in got} == best
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
