@@ -280,7 +280,7 @@ def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     frequent = frequent_shingles(docs)
     base = work.save(docs.mapInArrow(_base_rows(frequent), "doc_id long, mark long, n long, fp long, keys array<long>, bits binary"), "base")
-    nodes = work.save(base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "nodes")
+    nodes = work.save(base.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits")).select("fp", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n", "bits"), "nodes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = base.where("keys is not null").select(F.explode("keys").alias("h"), "n", "fp")
@@ -346,8 +346,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Workspa
     side = lambda x: nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     left = work.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long"), f"{name}-bounded")
     needed = left.select(F.col("a").alias("fp")).union(left.select(F.col("b").alias("fp"))).distinct()
-    reps = nodes.join(needed, "fp", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(reps, "doc_id", "left_semi").select("text").mapInArrow(_sets, "fp long, shingles binary")
+    reps = nodes.join(needed, "fp", "left_semi").select("rep", F.col("mark").alias("rep_mark")).distinct()
+    sets = docs.join(reps, (F.col("mark") == F.col("rep_mark")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(_sets, "fp long, shingles binary")
     sets = work.save(sets.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
     one = lambda x: sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"set_{x}"))
     out = work.save(left.join(one("a"), "a").join(one("b"), "b").mapInArrow(_exact, "a long, b long"), f"{name}-links")

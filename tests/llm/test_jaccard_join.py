@@ -55,6 +55,28 @@ def test_large_tiles_lose_no_link(spark, texts, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_null_ids_keep_their_links(spark, texts):
+    words = [f"n{k}" for k in range(80)]
+    near = [" ".join("changed" if k == i else w for k, w in enumerate(words)) for i in (7, 30, 61)]
+    mixed = [f"m{k}" for k in range(50)]
+    rows = list(enumerate(texts)) + [(None, x) for x in [*near, near[0], " ".join(mixed)]] + [(900, " ".join([*mixed, "more"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(list(enumerate(x for _, x in rows)))
+    groups = lambda pairs: {frozenset(x) for x in pairs.values()}
+    expected, found = {}, {}
+    for k, (_, x) in enumerate(rows):
+        if shingles(x):
+            expected.setdefault(want[k][1], set()).add(shingles(x))
+    marks = {r.mark: r.text for r in frame.selectExpr("xxhash64(text) AS mark", "text").collect()}
+    got = j.jaccard_components(frame).where("root IS NOT NULL").collect()
+    for r in got:
+        found.setdefault(r.root, set()).add(shingles(marks[r.mark]))
+    assert groups(found) == groups(expected)
+    assert {r.component_id for r in got if marks[r.mark].startswith("m0 ")} == {900}
+    left = j.one_of_each(frame)
+    assert left.where("text LIKE 'n0 %'").count() == 1 and [r.doc_id for r in left.where("text LIKE 'm0 %'").collect()] == [900]
+
+
 def test_odd_rows_and_clashing_columns(docs, no_docs):
     got = j.jaccard_components(docs)
     assert got.count() == docs.count()
