@@ -10,7 +10,9 @@ SPAN to WINDOW words holds a whole seed (a test goes through all of them), so no
 best such place is reported per text and item.
 
 Items of fewer than SPAN words have one seed of all their words and so match word for word; items
-of fewer than SHORTEST words are not searched, since they stand in many clean texts. A text is known by a hash of
+of fewer than SHORTEST words stand in many clean texts and match only a text that has no other words.
+An item is known by a hash of its words: rows of the benchmark without an item_id are searched too,
+and their leaks have a null item_id unless the same words have an id. A text is known by a hash of
 itself, so copies are verified together and repeated rows, null or repeated doc_ids each get their
 own text's result. Null texts and items, and those without words, match nothing.
 
@@ -46,7 +48,8 @@ def _seed(words: str, mask: int, at: Column) -> Column:
 
 
 def _short_seed(words: str, length: int, at: Column) -> Column:
-    return F.when((at + length <= F.size(words)), F.xxhash64(F.lit(-length), *(F.get(words, at + k) for k in range(length))))
+    fits = at + length <= F.size(words) if length >= SHORTEST else F.size(words) == length
+    return F.when(fits & (at + length <= F.size(words)), F.xxhash64(F.lit(-length), *(F.get(words, at + k) for k in range(length))))
 
 
 def _seeds_at_every_word(texts: DataFrame, kept: list[str], lengths: list[int]) -> DataFrame:
@@ -62,7 +65,7 @@ def _seeds_at_every_word(texts: DataFrame, kept: list[str], lengths: list[int])
 def item_seeds(items: DataFrame) -> DataFrame:
     """seed, item, place of every seed of items (item, words)."""
     long = _seeds_at_every_word(items.where(F.size("words") >= SPAN), ["item"], [])
-    short = [items.where(F.size("words") == n).select("item", F.lit(0).alias("place"), _short_seed("words", n, F.lit(0)).alias("seed")) for n in range(SHORTEST, SPAN)]
+    short = [items.where(F.size("words") == n).select("item", F.lit(0).alias("place"), _short_seed("words", n, F.lit(0)).alias("seed")) for n in range(1, SPAN)]
     for x in short:
         long = long.unionByName(x)
     return long.where("seed is not null").select("seed", "item", "place")
@@ -72,12 +75,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = N
     """text_hash, item_id, first_word, n_words, n_matched, similarity: a row per contaminated text of docs (text, ...) and item of benchmark (item_id, text)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "leaks")
-    listed = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words"))
-    listed = work.save(listed.where(F.size("words") >= SHORTEST).withColumn("item", F.xxhash64("words")).distinct(), "listed")
+    listed = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words"))
+    listed = work.save(listed.where(F.size("words") > 0).withColumn("item", F.xxhash64("words")).distinct(), "listed")
     items = work.save(listed.select("item", "words").dropDuplicates(["item"]), "items")
-    ids = listed.select("item", "item_id")
+    named = listed.where("item_id is not null").select("item", "item_id")
+    ids = named.unionByName(listed.where("item_id is null").select("item", "item_id").join(named, "item", "left_anti"))
     seeds = work.save(item_seeds(items), "seeds")
-    lengths = sorted(r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # at most SPAN - SHORTEST numbers
+    lengths = sorted(r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # at most SPAN - 1 numbers
 
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), "text")
     laid = _seeds_at_every_word(texts.select("text_hash", word_hashes(F.col("text")).alias("words")), ["text_hash"], lengths)

@@ -170,3 +170,12 @@ def test_substituted_items_at_any_word_against_brute_force(spark):
     got = decontaminate.leaks_by_document(docs, spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): (r.n_matched, -r.first_word) for r in got} == best
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+
+
+def test_items_without_an_id_and_short_items(spark):
+    rows = [(1, f"x {ITEM}"), (2, "Yes, we can!"), (3, "yes we can do it"), (4, "one two three four five six"), (5, "no"), (6, "--"), (7, "yes we")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (1, "yes we can"), (None, "yes we can"), (2, "two three four five six"), (None, "no"), (3, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks_by_document(docs, items).collect()}
+    assert got == {(1, None), (2, 1), (4, 2), (5, None)}
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, items).collect()) == [3, 6, 7]
