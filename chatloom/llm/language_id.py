@@ -12,8 +12,9 @@ cross-entropy is at most the language's own SLACK quantile of them plus MARGIN b
 for fewer letters. score is the posterior of the language among those learned (equal priors, of the
 text's mean log-likelihood times at most EVIDENCE letters).
 
-Learned from a bounded sample: about TRAIN_TEXTS labelled texts for each of the MAX_LANGUAGES most
-frequent languages, whole texts, chosen by a hash of doc_id. Every text is predicted. Null text or
+Learned from a bounded sample: about TRAIN_TEXTS labelled texts for each language, whole texts,
+chosen by a hash of doc_id. Beyond MANY_LANGUAGES of them each has fewer texts, so that the models'
+columns take no more memory in all, but at least one, so that every language is learned. Every text is predicted. Null text or
 text without a letter: `und`, score 0, not accepted. Where nothing can be learned (no labelled
 text), every text is `und`.
 """
@@ -33,7 +34,7 @@ from .hashing import mix, text_slices
 ORDER = 5
 DISCOUNT = 0.75
 TRAIN_TEXTS = 1500
-MAX_LANGUAGES = 100
+MANY_LANGUAGES = 100
 CALIBRATE = 5  # one sampled text in so many calibrates
 SLACK = 0.995
 MARGIN = 1.5
@@ -230,11 +231,16 @@ class Models:
 
 
 def _sampled(labelled: DataFrame, texts: int) -> DataFrame:
-    """About `texts` rows of each of the most frequent languages."""
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    share = sizes.select("lang", (F.lit(float(texts)) / F.col("count")).alias("share"))
+    """About `texts` rows of each language, or fewer of many languages; one of them at least trains."""
+    languages = labelled.select("lang").distinct().count()
+    texts = texts * min(1.0, MANY_LANGUAGES / max(1, languages)) ** 2  # n-grams and columns both grow with the languages
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(share), "lang").where(draw < F.col("share")).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0)
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+    order = F.struct((~F.col("text").rlike(r"\p{L}")).alias("empty"), calibrates.alias("calibrates"), draw.alias("draw"), F.xxhash64("text").alias("mark"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(order).alias("first"))
+    share = sizes.select("lang", (F.lit(float(texts)) / F.col("count")).alias("share"), "first")
+    is_first = order == F.col("first")
+    return labelled.join(F.broadcast(share), "lang").where((draw < F.col("share")) | is_first).withColumn("calibrates", calibrates & ~is_first).drop("first")
 
 
 def _learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -37,6 +37,17 @@ def test_languages_of_held_out_texts(spoken):
     assert kept.columns == spoken.columns and kept.count() == sum(r.accepted for r in got.values())
 
 
+def test_every_language_of_many_is_learned(spark):
+    say_in = lambda k, n: " ".join("".join(chr(0x4E00 + 20 * k + (i * 7 + j * 3) % 20) for j in range(4)) for i in range(n))
+    rows = [(1000 * k + i, say_in(k, 10 + i), f"l{k:03}") for k in range(130) for i in range(1 + (k < 110))]
+    docs = spark.createDataFrame([*rows, (7, "123", "l129")], "doc_id long, text string, lang string")
+    models = language_id.learn(docs)
+    assert models.languages == sorted({lang for _, _, lang in rows})
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, models).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert language_id.accepted_documents(docs, models).count() == len(rows)
+
+
 def test_language_models_are_distributions(spoken):
     models = language_id.learn(spoken)
     word = np.frombuffer(b"the", np.uint8)
