@@ -105,10 +105,18 @@ def fuzzy_matches(text: str, notices: tuple[Notice, ...] = NOTICES) -> list[tupl
     out = []
     for i, own in stretches.items():
         for a, b in own:
-            for m in matchers[i].finditer(text, a, min(len(text), b)):
-                if (a and m.start() == a and text[a - 1] != " ") or (m.end() == b < len(text) and text[b] != " "):
-                    continue
-                out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+            b = min(len(text), b)  # then to whole words
+            if a and text[a - 1] != " ":
+                a = text.find(" ", a, b) + 1 or b
+            if b < len(text) and text[b] != " ":
+                b = max(a, text.rfind(" ", a, b))
+            parts, found = [(a, b)], []
+            while parts:  # the best match of a part, then what stands before and after it
+                begin, end = parts.pop()
+                if begin < end and (m := matchers[i].search(text, begin, end)):
+                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    parts += [(begin, m.start() - 1), (m.end() + 1, end)]
+            out.extend(sorted(found))
     return out
 
 

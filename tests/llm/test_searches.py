@@ -75,6 +75,13 @@ def test_licenses_against_brute_force(docs, texts, no_docs, spark):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_every_damaged_notice_beside_a_better_one_is_found():
+    found = lambda text: [text[a:b] for _, a, b, _ in licenses.fuzzy_matches(text)]
+    assert found("creatve comons attribution creative commons attribution") == ["creatve comons attribution", "creative commons attribution"]
+    assert found("mit licence mit license") == ["mit licence", "mit license"]
+    assert found("x mit license mit licence mit licnse y mit license") == ["mit license", "mit licence", "mit licnse", "mit license"]
+
+
 def test_seeds_miss_no_match_that_the_matcher_finds():
     rng = random.Random(0)
     for notice in licenses.NOTICES:
