@@ -11,9 +11,13 @@ distinct shingle sets, so exact copies meet in one node before anything is compa
    its band's first set, and one in NEIGHBOUR_TILES of them the pair with the set before it.
 3. A pair is compared by bitmaps first: each bit of one that the other lacks is a shingle the other
    lacks, which bounds the overlap from above. Survivors are intersected as sorted arrays.
-4. Sets of large tiles that the links so far leave in different components are compared pair by
-   pair, in blocks, bitmaps first. Pairs inside a component need no test, so a group of thousands of
-   near copies costs a multiple of its size and no link between components is lost.
+4. Components are contracted: every set that shares a large tile with another component goes to
+   one such tile, is compared by bitmaps with a block of the sets that went there, and offers its
+   NEAREST best partners of other components. So a group of thousands of near copies grows together at
+   a few pairs a set.
+5. What then still lies in different components of a tile is compared in whole, in blocks, bitmaps
+   first: a tile's largest component with its other sets, and these with each other. Pairs inside a
+   component need no test, so no link between components is lost.
 
 Null or blank texts have an empty set and link with nothing. Nothing is capped, sampled or dropped.
 """
@@ -35,7 +39,14 @@ from .workspace import Workspace
 PERCENT = 75
 WIDTH = 5
 SMALL_TILE = 12
-BLOCK = 1000
+#: Sets of a block and bytes of its bitmaps; two blocks meet in a task.
+BLOCK = 500
+BLOCK_BYTES = 16 << 20
+#: Rounds of contraction before the rest is compared, and partners that a set offers in one.
+CONTRACTIONS = 1
+NEAREST = 2
+#: Keys of sets (shingle, set) that a task sorts into tiles.
+KEYS_PER_TASK = 4_000_000
 NEIGHBOUR_TILES = np.uint64(4)
 #: One document in so many is counted to find frequent shingles, and a shingle in so many of those counts as frequent.
 ORDER_SAMPLE, ORDER_COUNT = 16, 12
@@ -245,29 +256,111 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "shingles"])
 
 
-def _block_pairs(x: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a tile (or of two) that are in different components and that sizes and bitmaps allow."""
-    x = x.sort_values(["n", "fp"])
-    n, fp, root, salt = (x[c].to_numpy() for c in ("n", "fp", "root", "salt"))
-    one, two = x["i"].iat[0], x["j"].iat[0]
-    bits = [np.frombuffer(b, np.uint64) for b in x["bits"]]
+def block_pairs(n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray], across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, most shingles in common) of the pairs of different components that sizes and bitmaps allow, given sets in order of size.
+
+    across: only pairs of different sides. A partner's bitmap is at most twice as wide, so each width is
+    stacked with the next one folded onto it.
+    """
     width = np.array([len(b) for b in bits])
-    stacks = {w: np.stack([_wide(b, w) for b in bits]) for w in np.unique(width)}
-    count = {w: np.bitwise_count(s).sum(1, dtype=np.int64) for w, s in stacks.items()}
-    out_a, out_b = [], []
-    for k in range(len(x)):
-        to = int(np.searchsorted(n, 100 * n[k] // PERCENT, "right"))
-        j = np.arange(k + 1, to)
-        j = j[(root[j] != root[k]) & ((salt[j] != salt[k]) | (one == two))]
-        if not len(j):
-            continue
-        own = stacks[width[k]]
-        most = n[k] - np.bitwise_count(own[k] & ~own[j]).sum(1, dtype=np.int64)
-        ok = 100 * most >= PERCENT * (n[k] + n[j] - most)
-        out_a.append(np.full(ok.sum(), fp[k]))
-        out_b.append(fp[j[ok]])
-    a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    out = [(np.zeros(0, np.int64),) * 3]
+    for w in np.unique(width):
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        stack = np.stack([_fold(bits[i], w) for i in own])
+        count = np.bitwise_count(stack).sum(1, dtype=np.int64)
+        m, group, part = n[own], root[own], side[own]
+        for k in range(int((width == w).sum())):
+            j = np.arange(k + 1, int(np.searchsorted(m, 100 * m[k] // PERCENT, "right")))
+            j = j[(group[j] != group[k]) & ((part[j] != part[k]) if across else True)]
+            if not len(j):
+                continue
+            shared = np.bitwise_count(stack[k] & stack[j]).sum(1, dtype=np.int64)
+            most = np.minimum(m[k] - count[k] + shared, m[j] - count[j] + shared)
+            ok = links(most, m[k], m[j])
+            if ok.any():
+                out.append((np.full(int(ok.sum()), own[k]), own[j[ok]], most[ok]))
+    i, j, most = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i, j, most
+
+
+def _block(x: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    x = x.sort_values(["n", "fp"], ignore_index=True)
+    return x, *block_pairs(x["n"].to_numpy(), x["root"].to_numpy(), x["side"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["bits"]], bool(x["across"].iat[0]))
+
+
+def _as_pairs(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(fp[i], fp[j]), "b": np.maximum(fp[i], fp[j])})
+
+
+def _all_pairs(x: pd.DataFrame) -> pd.DataFrame:
+    x, i, j, _ = _block(x)
+    return _as_pairs(x["fp"].to_numpy(), i, j)
+
+
+def _nearest_pairs(x: pd.DataFrame) -> pd.DataFrame:
+    x, i, j, most = _block(x)
+    n = x["n"].to_numpy()
+    ratio = most / (n[i] + n[j] - most)
+    ends = pd.DataFrame({"own": np.r_[i, j], "i": np.r_[i, i], "j": np.r_[j, j], "ratio": np.r_[ratio, ratio]})
+    best = ends.sort_values(["own", "ratio", "i", "j"], ascending=[True, False, True, True]).groupby("own").head(NEAREST)
+    return _as_pairs(x["fp"].to_numpy(), best["i"].to_numpy(), best["j"].to_numpy()).drop_duplicates()
+
+
+_CELL = "a long, b long"
+
+
+def _open_members(members: DataFrame, roots: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """h, fp, n, root of the sets of tiles that hold more than one component; of tiles with the same sets one stays."""
+    placed = work.save(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"{name}-placed")
+    mark = F.xxhash64("fp")
+    tiles = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y")).where("lo <> hi")
+    return work.save(placed.join(tiles.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"), name)
+
+
+def _merged(roots: DataFrame, found: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """roots (node, root) once the components that found (a, b) links are one."""
+    up = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    joined = found.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = work.save(connected_components(joined, work, name), f"{name}-above")
+    raised = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return work.save(raised.union(above.join(roots, "node", "left_anti").select("node", "root")), name)
+
+
+def _blocks(rows: str, size: str) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(BLOCK)), F.ceil(F.col(size) / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def _dealt(cells: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by key to a number of tasks that is not cut down for few bytes: comparing takes much longer than reading."""
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _contraction(open_: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each set with its best partners in a block of one of its tiles."""
+    chosen = open_.groupBy("fp", "n", "root").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("draw"), "h")).alias("one")).select("fp", "n", "root", F.col("one.h").alias("h"))
+    held = chosen.join(nodes.select("fp", "bits"), "fp")
+    sizes = chosen.groupBy("h").agg(F.count("*").alias("rows"), F.sum(F.col("n") / 2).alias("bytes")).select("h", _blocks("rows", "bytes").alias("blocks"))
+    held = held.join(sizes, "h").withColumn("i", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
+    return held.select("h", "i", "fp", "n", "root", F.lit(0).alias("side"), F.lit(False).alias("across"), "bits").transform(_dealt, "h", "i").groupBy("h", "i").applyInPandas(_nearest_pairs, _CELL).distinct()
+
+
+def _remainder(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every pair (a, b) of a tile's sets in different components that sizes and bitmaps allow."""
+    parts = open_.groupBy("h", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n") / 2).alias("bytes"))
+    tiles = parts.groupBy("h").agg(F.max(F.struct("rows", "root", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    tiles = tiles.select("h", F.col("top.root").alias("top"), F.col("top.rows").alias("top_rows"), F.col("top.bytes").alias("top_bytes"), (F.col("rows") - F.col("top.rows")).alias("rows"), (F.col("bytes") - F.col("top.bytes")).alias("bytes"))
+    whole = (_blocks("all_rows", "all_bytes") == 1).alias("whole")
+    tiles = tiles.select("*", (F.col("rows") + F.col("top_rows")).alias("all_rows"), (F.col("bytes") + F.col("top_bytes")).alias("all_bytes"))
+    tiles = tiles.select("h", "top", whole, _blocks("top_rows", "top_bytes").alias("tops"), _blocks("rows", "bytes").alias("others"))
+    held = open_.join(tiles, "h").withColumn("is_top", F.col("root") == F.col("top")).withColumn("salt", F.pmod(F.xxhash64("fp"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))  # noqa: E731  0: others with the largest component, 1: others with others, 2: a small tile by itself
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    salt = F.col("salt")
+    of_top = F.transform(upto("others"), lambda k: cell(0, k, salt))
+    of_other = F.concat(F.transform(upto("tops"), lambda k: cell(0, salt, k)), F.transform(upto("others"), lambda k: cell(1, F.least(salt, k), F.greatest(salt, k))))
+    held = held.select("h", "fp", "n", "root", F.when(F.col("is_top"), -1).otherwise(salt).alias("side"), F.explode(F.when(F.col("whole"), F.array(cell(2, F.lit(0), F.lit(0)))).when(F.col("is_top"), of_top).otherwise(of_other)).alias("cell"))
+    held = held.select("h", "cell.*", "fp", "n", "root", "side").join(nodes.select("fp", "bits"), "fp").withColumn("across", (F.col("kind") == 0) | (F.col("i") != F.col("j")))
+    return _dealt(held, "h", "kind", "i", "j").groupBy("h", "kind", "i", "j").applyInPandas(_all_pairs, _CELL).distinct()
 
 
 def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -282,31 +375,22 @@ def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFr
     base = work.save(docs.mapInArrow(_base_rows(frequent), "doc_id long, mark long, n long, fp long, keys array<long>, bits binary"), "base")
     nodes = work.save(base.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits")).select("fp", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n", "bits"), "nodes")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys_held = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(keys_held) // KEYS_PER_TASK))
     keys = base.where("keys is not null").select(F.explode("keys").alias("h"), "n", "fp")
     tiles = work.save(keys.repartition(parts, "h").sortWithinPartitions("h", "n", "fp").mapInArrow(_tile_rows, _TILE), "tiles")
 
-    first = _verified(docs, nodes, tiles.where("kind = 0").select("a", "b").distinct(), work, "first")
-    roots = work.save(connected_components(first, work, "roots1"), "roots1")
-
-    members = tiles.where("kind = 1").select("h", F.col("a").alias("fp"), "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    members = work.save(members, "members")
-    mark = F.xxhash64("fp")
-    open_tiles = members.groupBy("h").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y")).where("lo <> hi")
-    open_tiles = open_tiles.groupBy("size", "x", "y").agg(F.min("h").alias("h"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    held = members.join(open_tiles.select("h", blocks.alias("blocks")), "h").join(nodes.select("fp", "bits"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("h", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "fp", "n", "root", "bits")
-    more = held.groupBy("h", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
-    second = _verified(docs, nodes, more, work, "second")
+    first = _verified(docs, nodes, _bounded_pairs(nodes, tiles.where("kind = 0").select("a", "b").distinct()), work, "first")
+    roots = work.save(connected_components(first, work, "components-0"), "roots-0")
+    open_ = tiles.where("kind = 1").select("h", F.col("a").alias("fp"), "n")
+    for turn in range(CONTRACTIONS + 1):
+        open_ = _open_members(open_.select("h", "fp", "n"), roots, work, f"open-{turn}")
+        if open_.isEmpty():
+            break
+        pairs = _contraction(open_, nodes, turn) if turn < CONTRACTIONS else _remainder(open_, nodes)
+        roots = _merged(roots, _verified(docs, nodes, pairs, work, f"turn-{turn}"), work, f"roots-{turn + 1}")
 
     smallest = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "root", "rep")
-    if not second.isEmpty():  # links between components: the components' roots are the nodes now
-        up = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        joined = second.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        above = work.save(connected_components(joined, work, "roots2"), "roots2").select(F.col("node").alias("root"), F.col("root").alias("top"))
-        smallest = smallest.join(above, "root", "left").select("fp", F.coalesce("top", "root").alias("root"), "rep")
     lowest = smallest.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = smallest.join(lowest, "root").select("fp", "root", "component_id")
     rows = base.select("doc_id", "mark", F.col("n").alias("n_shingles"), "fp").join(placed, "fp", "left")
@@ -341,17 +425,22 @@ def one_of_each(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     return left.join(bound(repeated), same(repeated), "left_anti").unionByName(again).drop(mark)
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) of sets that link: sizes and bitmaps first, then exact intersections."""
+def _bounded_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose sizes and bitmaps leave room for a link."""
     side = lambda x: nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    left = work.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long"), f"{name}-bounded")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, _CELL)
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of sets that link, by exact intersections."""
+    left = work.save(pairs, f"{name}-pairs")
     needed = left.select(F.col("a").alias("fp")).union(left.select(F.col("b").alias("fp"))).distinct()
     reps = nodes.join(needed, "fp", "left_semi").select("rep", F.col("mark").alias("rep_mark")).distinct()
     sets = docs.join(reps, (F.col("mark") == F.col("rep_mark")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(_sets, "fp long, shingles binary")
     sets = work.save(sets.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
     one = lambda x: sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"set_{x}"))
-    out = work.save(left.join(one("a"), "a").join(one("b"), "b").mapInArrow(_exact, "a long, b long"), f"{name}-links")
-    work.drop(f"{name}-sets", f"{name}-bounded")
+    out = work.save(left.join(one("a"), "a").join(one("b"), "b").mapInArrow(_exact, _CELL), f"{name}-links")
+    work.drop(f"{name}-sets", f"{name}-pairs")
     return out
 
 

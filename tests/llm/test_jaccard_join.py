@@ -55,6 +55,43 @@ def test_large_tiles_lose_no_link(spark, texts, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("contractions", [0, 2])
+def test_contraction_changes_no_component(spark, monkeypatch, contractions):
+    """A group whose copies link by chance only, in blocks of a few sets: with and without contraction as by brute force."""
+    monkeypatch.setattr(j, "SMALL_TILE", 3)
+    monkeypatch.setattr(j, "BLOCK", 7)
+    monkeypatch.setattr(j, "CONTRACTIONS", contractions)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(72)]
+    rows = []
+    for k in range(36):
+        copy = list(base)
+        for at in rng.choice(len(base), 1):
+            copy[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    got = j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_block_pairs_lose_no_link_at_any_width():
+    rng = np.random.default_rng(3)
+    pool = np.unique(mix(np.arange(1, 1200, dtype=np.uint64)))
+    sets = sorted((np.sort(rng.choice(pool[: int(s * 1.1)], s, replace=False)) for s in rng.integers(2, 600, 150)), key=len)
+    n, root = np.array([len(x) for x in sets]), np.arange(len(sets)) % 9
+    for across in (False, True):
+        side = np.arange(len(sets)) % 2
+        i, k, most = j.block_pairs(n, root, side, [j.bitmap(x) for x in sets], across)
+        found = set(zip(i.tolist(), k.tolist(), strict=True))
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if root[a] != root[b] and (not across or side[a] != side[b]) and j.links(common, n[a], n[b]):
+                    assert (a, b) in found
+        assert all(m >= len(np.intersect1d(sets[a], sets[b])) for a, b, m in zip(i, k, most, strict=True))
+
+
 def test_null_ids_keep_their_links(spark, texts):
     words = [f"n{k}" for k in range(80)]
     near = [" ".join("changed" if k == i else w for k, w in enumerate(words)) for i in (7, 30, 61)]
