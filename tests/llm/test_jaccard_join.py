@@ -62,7 +62,7 @@ def test_contraction_changes_no_component(spark, monkeypatch, contractions):
     monkeypatch.setattr(j, "BLOCK", 7)
     monkeypatch.setattr(j, "CONTRACTIONS", contractions)
     rng = np.random.default_rng(8)
-    base = [f"w{k}" for k in range(72)]
+    base = [f"w{k}" for k in range(40)]
     rows = []
     for k in range(36):
         copy = list(base)
