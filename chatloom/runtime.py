@@ -1,4 +1,4 @@
-"""Makes the package importable in Python workers, wherever they run."""
+"""Makes the package importable in Python workers, wherever they run, and bounds what they are sent at once."""
 
 from __future__ import annotations
 
@@ -10,11 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session's configuration names its own bound;
+#: Spark's own bound counts 10,000 rows, which are tens of megabytes of whole texts on either side.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's modules to the executors, unless PYTHONPATH already leads them to it."""
+    """Sends the package's modules to the executors, unless PYTHONPATH already leads them to it, and bounds Arrow batches."""
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     on_path = any(p and Path(p).resolve() == _ROOT.parent for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
     if on_path or getattr(context, "_chatloom_shipped", False):
         return spark
