@@ -5,11 +5,14 @@ the words are joined by single spaces, so that punctuation and line breaks insid
 matter. A notice may have `errors` insertions, deletions or substitutions of characters. It is split
 into errors + 1 seeds; by the pigeonhole principle one of them stands unchanged in every match, so
 only where an exact seed is found does the `regex` library's bounded-error matching run, on the
-stretch that a match around this seed can cover. Every match is reported with its words and edits.
+stretch that a match around this seed can cover. Every match is reported with its words and edits;
+those of a notice do not overlap, and where damaged ones crowd the best goes first. A stretch in which
+seeds recur is searched in windows of a few notices' length, so the work grows with the text's length.
 
 Base places are those where a phrase's words stand consecutively, as whole words, without an error.
 Null text counts as empty: no words, no places, empty labels, score 0. Repeated rows are scanned one
-by one; other columns play no part.
+by one; other columns play no part, and a null doc_id stays null. An empty table gives no rows. A very
+long text is scanned in whole, by one task; of equally good places the first counts.
 """
 
 from __future__ import annotations
@@ -53,6 +56,9 @@ NOTICES = (
     Notice("all rights reserved", "reserved", 2),
 )
 
+#: Lengths of a longest match that one bounded-error search goes over.
+WINDOW = 8
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -90,46 +96,70 @@ def normalised(buffer: np.ndarray, begins: np.ndarray) -> tuple[list[str], list[
 def fuzzy_matches(text: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, errors) of the matches in a normalised text; those of a notice do not overlap."""
     automaton, matchers = _compiled(notices)
-    stretches: dict[int, list[list[int]]] = {}
+    stretches: dict[int, list[tuple[int, int]]] = {}
     for end, (length, uses) in automaton.iter(text):
         for i, at in uses:
-            room = notices[i].errors
-            a = max(0, end + 1 - length - at - room - 1)
-            b = end + 1 - length - at + len(notices[i].phrase) + room + 1
-            own = stretches.setdefault(i, [])
-            if own and a <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], b)
-                own[-1][0] = min(own[-1][0], a)
-            else:
-                own.append([a, b])
+            room, begin = notices[i].errors, end + 1 - length - at
+            stretches.setdefault(i, []).append((max(0, begin - room - 1), min(len(text), begin + len(notices[i].phrase) + room + 1)))
     out = []
     for i, own in stretches.items():
-        for a, b in own:
-            b = min(len(text), b)  # then to whole words
-            if a and text[a - 1] != " ":
-                a = text.find(" ", a, b) + 1 or b
-            if b < len(text) and text[b] != " ":
-                b = max(a, text.rfind(" ", a, b))
-            parts, found = [(a, b)], []
-            while parts:  # the best match of a part, then what stands before and after it
-                begin, end = parts.pop()
-                if begin < end and (m := matchers[i].search(text, begin, end)):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    parts += [(begin, m.start() - 1), (m.end() + 1, end)]
-            out.extend(sorted(found))
+        own.sort()
+        a, b = own[0]
+        for next_a, next_b in own[1:]:
+            if next_a > b:
+                out.extend(_search(text, a, b, i, notices[i], matchers[i]))
+                a, b = next_a, next_b
+            b = max(b, next_b)
+        out.extend(_search(text, a, b, i, notices[i], matchers[i]))
     return out
 
 
+def _search(text: str, a: int, b: int, i: int, notice: Notice, matcher) -> list[tuple[int, int, int, int]]:
+    """The matches within text[a:b] that are whole words, in windows of WINDOW lengths of a match."""
+    longest, found = len(notice.phrase) + notice.errors, []
+    if a and text[a - 1] != " ":
+        a = text.find(" ", a, b) + 1 or b
+    if b < len(text) and text[b] != " ":
+        b = max(a, text.rfind(" ", a, b))
+    while a < b:
+        end = min(b, a + WINDOW * longest)
+        last = end == b
+        if not last and text[end] != " ":
+            end = text.rfind(" ", a, end)
+            if end < a:  # a word longer than any match
+                a = text.find(" ", a, b) + 1 or b
+                continue
+        sure = end if last else max(a + 1, end - 2 * longest)  # a match that starts later may go on in the next window
+        parts, own = [(a, end)], []
+        while parts:  # the best match of a part, then what stands before and after it
+            begin, stop = parts.pop()
+            if begin < stop and (m := matcher.search(text, begin, stop)):
+                own.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                parts += [(begin, m.start() - 1), (m.end() + 1, stop)]
+        kept = sorted(x for x in own if x[1] < sure)
+        found += kept
+        a = max([sure, *(x[2] for x in kept)])
+        if a < b and text[a - 1] != " ":
+            a = text.find(" ", a, b) + 1 or b
+    return found
+
+
 def base_places(text: str) -> list[tuple[int, str]]:
-    """(first word, label) of every place where a base phrase's words stand consecutively."""
+    """(place in the text, label) of every place where a base phrase's words stand consecutively."""
     framed, out = f" {text} ", []
     for phrase, label in BASE:
         part, at = f" {phrase} ", -1
         while (at := framed.find(part, at + 1)) >= 0:
-            out.append((framed.count(" ", 0, at + 1) - 1, label))
+            out.append((at, label))
     return out
 
 
+def words_before(text: str, places: list[int]) -> list[int]:
+    """How many spaces of a normalised text stand before each place."""
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20) if places else np.zeros(0, np.int64)
+    return np.searchsorted(spaces, places).tolist()
+
+
 _SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("errors", pa.int32())])
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(_SPAN))])
 
@@ -142,10 +172,11 @@ def _scan(notices: tuple[Notice, ...]):
                 for text, n in zip(*normalised(buffer, begins), strict=True):
                     base = base_places(text)
                     fuzzy = fuzzy_matches(text, notices)
-                    spans = [{"label": notices[i].label, "first_word": text.count(" ", 0, a), "last_word": text.count(" ", 0, b), "errors": e} for i, a, b, e in fuzzy]
+                    words = words_before(text, [at for at, _ in base] + [x for _, a, b, _ in fuzzy for x in (a, b)])
+                    spans = [{"label": notices[i].label, "first_word": a, "last_word": b, "errors": e} for (i, _, _, e), a, b in zip(fuzzy, words[len(base) :: 2], words[len(base) + 1 :: 2], strict=True)]
                     labels = {label for _, label in base}
                     best = max([1 - e / len(notices[i].phrase) for i, _, _, e in fuzzy] + [1.0] * bool(base), default=0.0)
-                    first = [w for w, _ in base]
+                    first = words[: len(base)]
                     out.append((n, len(base), min(first, default=None), max(first, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {s["label"] for s in spans})), best, spans))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 8
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _SCHEMA.types[1:], strict=True))], schema=_SCHEMA)

@@ -82,20 +82,45 @@ def test_every_damaged_notice_beside_a_better_one_is_found():
     assert found("x mit license mit licence mit licnse y mit license") == ["mit license", "mit licence", "mit licnse", "mit license"]
 
 
-def test_seeds_miss_no_match_that_the_matcher_finds():
+def plain_matches(text, notice):
+    """The matcher over the whole text, best first, then what stands before and after: no seeds, no windows."""
+    _, (matcher,) = licenses._compiled((notice,))
+    parts, found = [(0, len(text))], []
+    while parts:
+        a, b = parts.pop()
+        if a < b and (m := matcher.search(text, a, b)):
+            found.append((0, m.start(), m.end(), sum(m.fuzzy_counts)))
+            parts += [(a, m.start() - 1), (m.end() + 1, b)]
+    return sorted(found)
+
+
+def test_fuzzy_matches_against_the_plain_matcher():
     rng = random.Random(0)
     for notice in licenses.NOTICES:
-        _, matchers = licenses._compiled((notice,))
-        for _ in range(15):
-            edited = list(notice.phrase)
-            for _ in range(notice.errors):
-                k = rng.randrange(1, len(edited) - 1)
-                edited[k : k + rng.randint(0, 1)] = rng.choice(["", "q"])
-            text = " ".join(f"zz {''.join(edited)} zz".split())
-            whole = [m for m in matchers[0].finditer(text) if not text[m.start() : m.start() + 1].isspace()]
-            found = licenses.fuzzy_matches(text, (notice,))
-            if whole and sum(whole[0].fuzzy_counts) <= notice.errors:
-                assert found
+        for copies in (1, 2, 7, 30):
+            parts = []
+            for _ in range(copies):
+                edited = list(notice.phrase)
+                for _ in range(rng.randint(0, notice.errors + 1)):
+                    k = rng.randrange(1, len(edited) - 1)
+                    edited[k : k + rng.randint(0, 1)] = rng.choice(["", "q"])
+                parts += ["".join(edited), *(rng.choice(["zz", "y", notice.phrase.split()[0], "w" * 40]) for _ in range(rng.randint(0, 6)))]
+            text = " ".join(" ".join(parts).split())
+            assert sorted(licenses.fuzzy_matches(text, (notice,))) == plain_matches(text, notice), (notice, text)
+
+
+def test_license_scan_of_long_texts_is_linear(spark):
+    """Seeds, base places and damaged notices that recur all through a text."""
+    import time
+
+    for unit in ("all rights reserved ", "general public lice nse ", "mit licence ", "permission is hereby "):
+        took = []
+        for times in (2000, 16000):
+            began = time.process_time()
+            list(licenses.fuzzy_matches((unit * times).strip()))
+            licenses.words_before(unit * times, [at for at, _ in licenses.base_places(unit * times)])
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * 3 * took[0] + 0.5, (unit, took)
 
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
