@@ -1,9 +1,11 @@
 """LM scoring: marginal probability of a text under a unigram subword lattice.
 
-The pieces are those of a public subword vocabulary, which is not trained here; their unigram scores
-are: log relative frequencies of pieces in the training texts' own segmentation, plus one half. A
-word's probability sums over all its segmentations into pieces, by forward recursion in log space;
-a text's is the product over its words and one end.
+The pieces and their scores are those of a public subword vocabulary, which is not trained here. Its
+scores are the ranks of its pieces; read as a Zipf law, log(1 / (rank + ZIPF)), they weigh the lattice
+of all segmentations. ROUNDS of expectation-maximisation over that lattice fit the weights to the
+training words: a piece's expected count over all segmentations of all words (forward and backward
+recursion), plus one half. A word's probability sums over all its segmentations into pieces, by
+forward recursion in log space; a text's is the product over its words and one end.
 
 A word is scored once for the whole corpus, not once per occurrence. Each task turns about
 CHUNK_BYTES of text into the chunk's distinct words and, per document, indices into them; distinct
@@ -30,6 +32,8 @@ from .hashing import BLANK, LOWER, byte_hashes, span_hashes, text_slices, word_s
 from .workspace import Workspace
 
 CHUNK_BYTES = 16 << 20
+ROUNDS = 1
+ZIPF = 2.7
 MARK = "▁".encode()  # stands before every word in the vocabulary's pieces
 _CHUNKS = "chunk long, doc_id long, held_out boolean, n_words long, at binary, times binary, h long, word binary, c long"
 
@@ -42,13 +46,16 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=1)
 def vocabulary(path: str):
-    """The processor, and the bytes of every piece (None for control pieces)."""
+    """The bytes of every piece (None for control pieces), and its log weight by the file's own scores."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     pieces = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else None if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).encode() for i in range(n)]
-    return model, pieces
+    scores = np.array([model.get_score(i) for i in range(n)])
+    rank = (-scores).argsort(kind="stable").argsort(kind="stable")  # byte pieces have the score of the first rank, as any text may need them
+    weights = -np.log(rank + ZIPF)
+    return pieces, weights - np.logaddexp.reduce(weights)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,17 +114,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield words()
 
 
-def _piece_counts(path: str | None):
+def _piece_counts(path: str | None, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, pieces = vocabulary(path or default_vocabulary())
-        total = np.zeros(len(pieces), np.int64)
+        pieces = vocabulary(path or default_vocabulary())[0]
+        lattice = Lattice(pieces, weights)
+        total = np.zeros(len(lattice.keys))
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            ids = model.encode(words, num_threads=1)
-            flat = np.fromiter((i for own in ids for i in own), np.int64)
-            total += np.bincount(flat, weights=np.repeat(batch.column("c").to_numpy(), [len(i) for i in ids]), minlength=len(pieces)).astype(np.int64)
+            if batch.num_rows:
+                total += lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy())
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(lattice.first[at]), pa.array(total[at])], names=["piece", "times"])
 
     return run
 
@@ -127,9 +133,11 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes | None], weights: np.ndarray):
         merged: dict[bytes, float] = {}
-        for piece, weight in zip(pieces, weights, strict=True):
+        first: dict[bytes, int] = {}
+        for k, (piece, weight) in enumerate(zip(pieces, weights, strict=True)):
             if piece:
                 merged[piece] = np.logaddexp(merged.get(piece, -np.inf), weight)
+                first.setdefault(piece, k)
         texts = list(merged)
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts])
@@ -137,27 +145,50 @@ class Lattice:
         keys = span_hashes(byte_hashes(data), starts, ends)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(merged.values()))[order]
+        self.first = np.array(list(first.values()))[order]  # the number of the piece, or of the first of equal ones
         self.lengths = sorted({len(t) for t in texts})
 
     def marginals(self, words: list[bytes], batch: int = 1 << 14) -> np.ndarray:
         """Natural log of each word's probability (the mark before it included)."""
-        marked = [MARK + w for w in words]
-        size = np.array([len(w) for w in marked])
-        order = np.argsort(size, kind="stable")
         out = np.empty(len(words))
+        for own, texts, size in self._batches(words, batch):
+            out[own] = self._forward(texts, size)[0][np.arange(len(own)), size]
+        return out
+
+    def expected(self, words: list[bytes], times: np.ndarray, batch: int = 1 << 13) -> np.ndarray:
+        """How often each piece is expected in the words, over all their segmentations; a word counts `times`."""
+        total = np.zeros(len(self.keys))
+        for own, texts, size in self._batches(words, batch):
+            alpha, steps = self._forward(texts, size, keep=True)
+            rows = np.arange(len(own))
+            beta = np.full_like(alpha, -np.inf)
+            beta[rows, size] = 0
+            whole, weight = alpha[rows, size], np.asarray(times, np.float64)[own]
+            for end, length, hit, place in reversed(steps):
+                back = beta[hit, end] + self.values[place]
+                total += np.bincount(place, weights=np.exp(alpha[hit, end - length] + back - whole[hit]) * weight[hit], minlength=len(total))
+                beta[hit, end - length] = np.logaddexp(beta[hit, end - length], back)
+        return total
+
+    @staticmethod
+    def _batches(words: list[bytes], batch: int):
+        """Words of like length together: their numbers, their bytes with the mark, and lengths."""
+        size = np.array([len(w) + len(MARK) for w in words])
+        order = np.argsort(size, kind="stable")
         at = 0
         while at < len(order):
             take = max(1, min(batch, (batch << 5) // int(size[order[min(at + batch, len(order)) - 1]])))
             own = order[at : at + take]
-            out[own] = self._forward([marked[i] for i in own], size[own])
+            yield own, [MARK + words[i] for i in own], size[own]
             at += take
-        return out
 
-    def _forward(self, words: list[bytes], size: np.ndarray) -> np.ndarray:
+    def _forward(self, words: list[bytes], size: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list[tuple]]:
+        """Log weight of every prefix of every word; the pieces that were met, as (end, length, words, places), if asked for."""
         starts = np.cumsum(size) - size
         sums = byte_hashes(np.frombuffer(b"".join(words), np.uint8))
         alpha = np.full((len(words), int(size.max()) + 1), -np.inf)
         alpha[:, 0] = 0
+        steps = []
         for end in range(1, alpha.shape[1]):
             live = np.flatnonzero(size >= end)
             total = np.full(len(live), -np.inf)
@@ -169,13 +200,15 @@ class Lattice:
                 hit = np.flatnonzero(self.keys[place] == h)
                 if len(hit):
                     total[hit] = np.logaddexp(total[hit], alpha[live[hit], end - length] + self.values[place[hit]])
+                    if keep:
+                        steps.append((end, length, live[hit], place[hit]))
             alpha[live, end] = total
-        return alpha[np.arange(len(words)), size]
+        return alpha, steps
 
 
 def _marginals(path: str | None, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary(path or default_vocabulary())[1], weights)
+        lattice = Lattice(vocabulary(path or default_vocabulary())[0], weights)
         for batch in batches:
             lp = lattice.marginals(batch.column("word").to_pylist()) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(lp / np.log(10))], names=["h", "c", "lp"])
@@ -195,16 +228,18 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, work: Workspace |
     texts = chunks.where("h is not null")
     counts = texts.groupBy("h").agg(F.max("word").alias("word"), F.sum("c").alias("c"))
     words = work.save(counts, "words")
-    pieces = words.where("c > 0").select("word", "c").mapInArrow(_piece_counts(vocabulary_path), "piece long, times long").groupBy("piece").agg(F.sum("times").alias("times")).toPandas()
-
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = chunks.where("h is null and not held_out").count()
     n, v = total.n + ends, total.v + (ends > 0)
-    kinds = len(vocabulary(vocabulary_path or default_vocabulary())[1])
-    times = np.full(kinds + 1, 0.5)  # the last is the end
-    times[pieces["piece"].to_numpy(np.int64)] += pieces["times"].to_numpy()
-    times[-1] += ends
-    weights = np.log(times / times.sum())
+    kinds = len(vocabulary(vocabulary_path or default_vocabulary())[0])
+    weights = vocabulary(vocabulary_path or default_vocabulary())[1]
+    weights = np.append(weights, weights.min())  # the last is the end
+    for _ in range(ROUNDS):
+        pieces = words.where("c > 0").select("word", "c").mapInArrow(_piece_counts(vocabulary_path, weights[:kinds]), "piece long, times double").groupBy("piece").agg(F.sum("times").alias("times")).toPandas()
+        times = np.full(kinds + 1, 0.5)
+        times[pieces["piece"].to_numpy(np.int64)] += pieces["times"].to_numpy()
+        times[-1] += ends
+        weights = np.log(times / times.sum())
     scored = work.save(words.select("h", "word", "c").mapInArrow(_marginals(vocabulary_path, weights[:-1]), "h long, c long, lp double"), "scored")
 
     found = texts.where("c is not null").select("chunk", F.col("n_words").cast("int").alias("number"), "h").join(scored, "h").select(F.col("chunk").alias("of"), "number", "c", "lp")

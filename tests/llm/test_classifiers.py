@@ -146,3 +146,38 @@ def test_marginals_sum_over_all_segmentations():
 
     words = [b"a", b"ab", b"abab", "é".encode(), b"ba" * 4]
     assert np.allclose(model.marginals(words), [np.log(total(lattice.MARK + w)) for w in words])
+
+
+def test_expected_counts_go_over_all_segmentations():
+    pieces = [None, b"a", b"b", b"ab", b"aba", lattice.MARK, lattice.MARK + b"a", *[bytes([c]) for c in range(256)]]
+    weights = np.log(np.random.default_rng(1).random(len(pieces)))
+    model = lattice.Lattice(pieces, weights)
+    value = dict(zip(model.first.tolist(), model.values.tolist(), strict=True))
+    number = {p: k for k, p in reversed(list(enumerate(pieces))) if p}
+
+    def segmentations(w):
+        if not w:
+            yield []
+        for p, k in number.items():
+            if w.startswith(p):
+                for rest in segmentations(w[len(p) :]):
+                    yield [k, *rest]
+
+    words, times = [b"aba", b"abab", b"z", b"", b"bab"], [3, 1, 2, 5, 7]
+    want = dict.fromkeys(value, 0.0)
+    for w, c in zip(words, times, strict=True):
+        ways = list(segmentations(lattice.MARK + w))
+        share = np.exp([sum(value[k] for k in way) for way in ways])
+        for way, p in zip(ways, share / share.sum(), strict=True):
+            for k in way:
+                want[k] += p * c
+    assert np.allclose(model.expected(words, np.array(times)), [want[k] for k in model.first.tolist()])
+
+
+def test_a_round_makes_the_training_words_likelier(docs, monkeypatch):
+    marked = docs.withColumn("held_out", F.lit(False))
+    totals = []
+    for rounds in (0, 1, 2):
+        monkeypatch.setattr(lattice, "ROUNDS", rounds)
+        totals.append(sum(r.score for r in lattice.score(marked).collect()))
+    assert totals[0] < totals[1] < totals[2]
