@@ -11,34 +11,37 @@ record id derived from archive, offset and URL (the same on every run), the 14-d
 ISO 8601, a type (version block: warcinfo; http capture: response, or revisit; else resource), and
 SHA-1 digests of block and payload. URLs may hold spaces, so fields are counted from the line's end.
 
-An archive here is a table row: its name and its whole image, of about IMAGE_BYTES (one longer record
-gets an image of its own). Images are plain ARC or WARC files; write_files() puts them on a disk.
+Archives are files, plain or gzipped, of about IMAGE_BYTES each (a longer record gets a file of its
+own). write_archives() writes them, and read_archives() reads them, with Spark's own sources, so they
+may lie in any store that Spark reaches; a task that fails leaves no file behind.
 Of captures with equal payloads of at least REVISIT_BYTES, the one with the largest key becomes the
 response and others revisit it; keys are compared per digest, in partial aggregates, so a payload
-that a third of all pages share is one row per task.
+that a third of all pages share is one row per task, and its copies meet the response without a
+shuffle. Archives themselves are shuffled, compressed, only where their revisits are too many to be sent around.
 
 Null html is an empty payload; null URLs are written as "-", and blanks or line ends in URLs are percent-coded. Rows with
-equal page_id are separate records. Malformed archives: a record with a broken line or cut short
-ends its archive; what stands before it is converted.
+equal page_id are separate records; of equal keys the larger record id is the response. Other columns play no part, and no page
+gives no record. A very long payload is one record of one task. Malformed archives: a record with a broken line or
+without a length, or that is cut short, ends its archive; what stands before it is converted.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-IMAGE_BYTES = 2 << 20
+IMAGE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
 #: Field names of the two record lines, as the format's version blocks state them.
 FIELDS = {
@@ -46,7 +49,10 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_SALTS = 16
+#: Copies of a payload from which its rows meet the response by broadcast; there are at most rows / HOT_COPIES of these.
+HOT_COPIES = 100_000
+#: Revisits and hot payloads that are broadcast at most; more are a shuffled join.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass
@@ -155,7 +161,9 @@ def parse_warc(image: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if stop < 0 or not image.startswith(b"WARC/", at):
             return
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in image[at:stop].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers["content-length"])
+        size = headers.get("content-length", "")
+        if not size.isdigit() or stop + 4 + (size := int(size)) > len(image):
+            return
         yield headers, image[stop + 4 : stop + 4 + size]
         at = stop + 4 + size + 4
 
@@ -191,15 +199,38 @@ def archives_of_pages(pages: DataFrame, date: str = "20080229123456") -> DataFra
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, _ARC)
 
 
+def write_archives(archives: DataFrame, folder: str) -> None:
+    """Each image (archive, image) as a gzipped file of its own below folder; one without a line end at its end gets one."""
+    cut = F.when(F.endswith("image", F.lit(b"\n")), F.expr("substring(image, 1, length(image) - 1)")).otherwise(F.col("image"))
+    # the text writer puts the bytes of a string as they are, and a line end after them
+    archives.select(cut.cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", "\n").text(folder)
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """archive (a file's path), image of every file below folder."""
+    return spark.read.format("binaryFile").load(folder).select(F.col("path").alias("archive"), F.col("content").alias("image"))
+
+
+def _plain(image: pa.Scalar) -> bytes:
+    raw = image.as_buffer().to_pybytes() if image.is_valid else b""
+    return gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw
+
+
+def _name(archive: str, image: bytes) -> str:
+    """What an ARC file calls itself in its version block."""
+    return image[11 : image.find(b" ")].decode("utf-8", "replace") if image.startswith(b"filedesc://") else archive.rpartition("/")[2]
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive, image in zip(batch.column("archive").to_pylist(), batch.column("image"), strict=True):
-            out = []
-            for k, c in enumerate(parse_arc(image.as_buffer().to_pybytes())):
+            out, image = [], _plain(image)
+            name = _name(archive, image)
+            for k, c in enumerate(parse_arc(image)):
                 if is_capture(c):
                     head, payload = split_http(c.block)
                     key = http_header(head, "X-Page-Id")
-                    out.append((archive, k, int(key) if key and key.lstrip("-").isdigit() else None, hashlib.sha1(payload, usedforsecurity=False).digest(), len(payload), record_id(archive, c), c.url, iso_date(c.date)))
+                    out.append((archive, k, int(key) if key and key.lstrip("-").isdigit() else None, hashlib.sha1(payload, usedforsecurity=False).digest(), len(payload), record_id(name, c), c.url, iso_date(c.date)))
             if out:
                 types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["archive", "record", "key", "sha1", "length", "id", "url", "date"])
@@ -209,25 +240,30 @@ def _revisits(facts: DataFrame) -> DataFrame:
     """archive, revisits: array of (record, id, url, date, key) for the records that revisit another."""
     long = facts.where(F.col("length") >= REVISIT_BYTES)
     last = long.groupBy("sha1", "length").agg(F.count("*").alias("n"), F.max(F.struct("key", "id", "url", "date")).alias("last")).where("n > 1")
-    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))  # a copied payload's rows meet its response in 16 tasks
-    dealt = long.select("archive", "record", "id", "sha1", "length", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt"))
-    hits = dealt.join(last, ["sha1", "length", "salt"]).where(dealt["id"] != F.col("last.id"))
+    hot = last.where(F.col("n") >= HOT_COPIES)
+    dealt = long.select("archive", "record", "id", "sha1", "length")
+    if 0 < hot.count() <= BROADCAST_ROWS:
+        hits = dealt.join(F.broadcast(hot), ["sha1", "length"]).unionByName(dealt.join(F.broadcast(hot.select("sha1", "length")), ["sha1", "length"], "left_anti").join(last.where(F.col("n") < HOT_COPIES), ["sha1", "length"]))
+    else:
+        hits = dealt.join(last, ["sha1", "length"])
     one = F.struct("record", F.col("last.id").alias("id"), F.col("last.url").alias("url"), F.col("last.date").alias("date"), F.col("last.key").alias("key"))
-    return hits.groupBy("archive").agg(F.collect_list(one).alias("revisits"))  # as many as an image has records
+    return hits.where(F.col("id") != F.col("last.id")).groupBy("archive").agg(F.collect_list(one).alias("revisits"))  # as many as a file has records
 
 
 def arc_to_warc(archives: DataFrame, work: Workspace) -> DataFrame:
     """WARC archives (archive, image) of legacy archives (archive, image)."""
     facts = work.save(archives.mapInArrow(_facts, _FACTS), "facts")
-    joined = archives.join(_revisits(facts), "archive", "left")
+    revisits = work.save(_revisits(facts), "revisits")
+    few = (revisits.agg(F.sum(F.size("revisits"))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = archives.join(F.broadcast(revisits) if few else revisits, "archive", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, image, revisits in zip(batch.column("archive").to_pylist(), batch.column("image"), batch.column("revisits").to_pylist(), strict=True):
-                to = {r["record"]: r for r in revisits or []}
-                name = archive.removesuffix(".arc") + ".warc"
-                out = b"".join(warc_record(archive, c, to.get(k)) for k, c in enumerate(parse_arc(image.as_buffer().to_pybytes())))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out], pa.binary())], names=["archive", "image"])
+                to, image = {r["record"]: r for r in revisits or []}, _plain(image)
+                name = _name(archive, image)
+                out = b"".join(warc_record(name, c, to.get(k)) for k, c in enumerate(parse_arc(image)))
+                yield pa.RecordBatch.from_arrays([pa.array([name.removesuffix(".arc") + ".warc"]), pa.array([out], pa.binary())], names=["archive", "image"])
 
     return joined.select("archive", "image", "revisits").mapInArrow(run, _ARC)
 
@@ -241,8 +277,8 @@ def warc_records(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for archive, image in zip(batch.column("archive").to_pylist(), batch.column("image"), strict=True):
                 out = []
-                for h, block in parse_warc(image.as_buffer().to_pybytes()):
-                    if h["warc-type"] not in ("response", "revisit"):
+                for h, block in parse_warc(_plain(image)):
+                    if h.get("warc-type") not in ("response", "revisit"):
                         continue
                     head, payload = split_http(block)
                     key, revisit = http_header(head, "X-Page-Id"), h["warc-type"] == "revisit"
@@ -256,29 +292,12 @@ def warc_records(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(run, "archive string, page_id long, url string, record_id string, warc_date string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload_ok boolean")
 
 
-def write_files(archives: DataFrame, folder: str) -> None:
-    """Each image as a file below a folder that every executor mounts; a file appears whole or not at all."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        for frame in frames:
-            for name, image in zip(frame["archive"], frame["image"], strict=True):
-                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
-                with open(part, "wb") as out:
-                    out.write(image)
-                os.replace(part, os.path.join(folder, name))
-            yield frame[["archive"]]
-
-    archives.mapInPandas(run, "archive string").write.format("noop").mode("overwrite").save()
-
-
 def op5_warc_from_arc(spark, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "warc")
-    legacy = work.save(archives_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), "arc")
-    written = work.save(arc_to_warc(legacy, work), "warc")
-    work.drop("arc", "facts")
-    return warc_records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")
+    write_archives(archives_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), f"{work.root}/arc")
+    write_archives(arc_to_warc(read_archives(spark, f"{work.root}/arc"), work), f"{work.root}/warc")
+    work.drop("arc", "facts", "revisits")
+    return warc_records(read_archives(spark, f"{work.root}/warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")
 
 
 ORACLE = """

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import itertools
 
@@ -100,10 +101,43 @@ def test_pages_become_records_and_revisits(spark, tmp_path, monkeypatch):
     assert sorted(r.record_type for r in got if r.page_id == 8) == ["response", "revisit"]
 
 
+@pytest.mark.parametrize("limit", [0, 2])
+def test_hot_payloads_and_shuffled_revisits(spark, tmp_path, monkeypatch, limit):
+    """A payload of a third of all pages, with clashing columns, by broadcast and by shuffled joins."""
+    monkeypatch.setattr(warc, "HOT_COPIES", 5)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+    rows = [(k, f"http://e/{k}", "z" * 1500 if k % 3 == 0 else f"{k // 4}" * 1200) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS image", "'x' AS archive", "2 AS sha1").repartition(4)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.op5_warc_from_arc(spark, str(tmp_path)).collect()}
+    last = {}
+    for i, _, x in rows:
+        last[x] = i
+    assert got == {(i, "response", None) if last[x] == i else (i, "revisit", last[x]) for i, _, x in rows}
+
+
 def test_archives_as_files_and_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "hi")], "page_id long, url string, html string")
-    warc.write_files(warc.archives_of_pages(pages), str(tmp_path))
-    (found,) = tmp_path.glob("*.arc")
-    assert [c.url for c in warc.parse_arc(found.read_bytes())][1:] == ["http://a"]
+    warc.write_archives(warc.archives_of_pages(pages), f"{tmp_path}/arc")
+    (image,) = filter(None, (gzip.decompress(x.read_bytes()) for x in tmp_path.glob("arc/part-*.gz")))  # an empty partition leaves an empty file
+    assert [c.url for c in warc.parse_arc(image)][1:] == ["http://a"]
+    (row,) = warc.archives_of_pages(pages).collect()
+    assert image == row.image
     work = Workspace(spark, "t")
-    assert warc.warc_records(warc.arc_to_warc(work.save(warc.archives_of_pages(pages.limit(0)), "arc"), work)).count() == 0
+    warc.write_archives(warc.archives_of_pages(pages.limit(0)), f"{tmp_path}/none")
+    assert warc.warc_records(warc.arc_to_warc(warc.read_archives(spark, f"{tmp_path}/none"), work)).count() == 0
+
+
+def test_any_bytes_survive_files(spark, tmp_path):
+    images = [(f"{k}", bytes(range(256)) * 3 + end) for k, end in enumerate((b"", b"\n", b"\r\n\r\n", b"\xff\n\n"))]
+    warc.write_archives(spark.createDataFrame(images, "archive string, image binary"), f"{tmp_path}/any")
+    got = sorted(x for r in warc.read_archives(spark, f"{tmp_path}/any").collect() if (x := gzip.decompress(r.image)))
+    assert got == sorted(x if x.endswith(b"\n") else x + b"\n" for _, x in images)
+
+
+def test_broken_warc_records_end_their_archive():
+    one = warc.warc_record("a.arc", warc.Capture(0, "http://a", "-", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody"))
+    assert len(list(warc.parse_warc(one + one))) == 2
+    assert len(list(warc.parse_warc(one + one[:-8]))) == 1
+    assert list(warc.parse_warc(one.replace(b"Content-Length", b"X-Length"))) == []
+    assert len(list(warc.parse_warc(one + b"junk" + one))) == 1
