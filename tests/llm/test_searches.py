@@ -49,6 +49,38 @@ def test_nearest_against_brute_force(vectors):
     assert hundred == [7, 101, 102, 103, 104]
 
 
+@pytest.mark.parametrize("scale", [1e-200, 1.0, 1e200])
+def test_nearest_of_very_large_and_small_components(spark, scale):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 9)) * scale
+    x[20:] *= 10.0 ** rng.integers(-60, 60, (40, 1))
+    got = nearest.nearest(*[spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")] * 2).collect()
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(got) == 60 * 5
+    for r in got:
+        assert r.score == pytest.approx(float(unit[r.query_id] @ unit[r.vec_id]), abs=1e-12)
+
+
+@pytest.mark.parametrize("rows, queries", [(100, 3), (8192, 32768)])
+def test_recall_on_clusters_with_noise(spark, monkeypatch, rows, queries):
+    """Every query's five nearest of 1,500 vectors in 12 noisy clusters, in one block or in many."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", queries)
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((12, 48))[rng.integers(0, 12, 1500)] + 0.7 * rng.standard_normal((1500, 48))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nearest.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(set(np.argsort(-near)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.95 * 150
+
+
 def test_nearest_with_few_or_no_vectors(spark, vectors):
     assert nearest.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
     two = spark.createDataFrame([(50, [1.0, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
