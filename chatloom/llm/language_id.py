@@ -14,9 +14,12 @@ text's mean log-likelihood times at most EVIDENCE letters).
 
 Learned from a bounded sample: about TRAIN_TEXTS labelled texts for each language, whole texts,
 chosen by a hash of doc_id. Beyond MANY_LANGUAGES of them each has fewer texts, so that the models'
-columns take no more memory in all, but at least one, so that every language is learned. Every text is predicted. Null text or
-text without a letter: `und`, score 0, not accepted. Where nothing can be learned (no labelled
-text), every text is `und`.
+columns take no more memory in all, but at least one, so that every language is learned. Every text
+is predicted, in whole, by one task. Null text or text without a letter: `und`, score 0, not accepted.
+Equal cross-entropies: the first language by name. Repeated rows are learned and predicted row by row;
+a null doc_id counts as training and keeps its row; of other columns only lang plays a part, in
+learning. An empty table gives no rows. Where nothing can be learned (no labelled text), every text
+is `und`.
 """
 
 from __future__ import annotations

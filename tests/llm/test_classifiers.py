@@ -1,11 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chatloom.llm import language_id, lattice, quality
 
+from .conftest import prose
+
 TONGUES = {"en": ("the", "ing", "tion", "sh", "wh"), "de": ("der", "ung", "sch", "keit", "ü"), "fr": ("eau", "oi", "é", "ment", "que")}
 
 
@@ -181,3 +184,88 @@ def test_a_round_makes_the_training_words_likelier(docs, monkeypatch):
         monkeypatch.setattr(lattice, "ROUNDS", rounds)
         totals.append(sum(r.score for r in lattice.score(marked).collect()))
     assert totals[0] < totals[1] < totals[2]
+
+
+def plain_kneser_ney(texts):
+    """n-gram -> probability of its last character after the others, by dictionaries; and words' bits per character."""
+    import re
+    from collections import Counter, defaultdict
+
+    words = [f"#{w.lower()}#" for t in texts for w in re.findall(r"[^\W\d_]+", t)]
+    n = language_id.ORDER
+    counts = [Counter(w[e - k : e] for w in words for e in range(2, len(w) + 1) if e - k >= 0) for k in range(n + 1)]
+    use = {}
+    for k in range(1, n + 1):
+        before = defaultdict(set)
+        if k < n:
+            for g in counts[k + 1]:
+                before[g[1:]].add(g)
+        use[k] = {g: len(before[g]) if k < n and before[g] else c for g, c in counts[k].items()}
+    total, kinds = defaultdict(float), Counter()
+    for k in use:
+        for g, c in use[k].items():
+            total[k, g[:-1]] += c
+            kinds[k, g[:-1]] += 1
+
+    def p(g):
+        if not g:
+            return language_id.FLOOR
+        k, context = len(g), (len(g), g[:-1])
+        if not total[context]:
+            return p(g[1:])
+        seen = use[k].get(g)
+        back = language_id.DISCOUNT * kinds[context] / total[context] * p(g[1:])
+        return back if seen is None else max(seen - language_id.DISCOUNT, 0) / total[context] + back
+
+    def bits(text):
+        own = [f"#{w.lower()}#" for w in re.findall(r"[^\W\d_]+", text)]
+        return -sum(np.log2(p(w[max(0, e - n) : e])) for w in own for e in range(2, len(w) + 1)) / sum(len(w) - 1 for w in own)
+
+    return bits
+
+
+def test_language_models_against_plain_kneser_ney():
+    rng = random.Random(4)
+    learned = {"a": [prose(rng, 60) for _ in range(5)] + ["Ünïcode wörd ß"], "b": [prose(rng, 60, ("lo", "ma", "ki", "ne", "su")) for _ in range(5)]}
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(x)], names=["text"])
+    models = language_id.Models({k: language_id.kneser_ney(language_id.count_grams(batch(x))) for k, x in learned.items()})
+    plain = [plain_kneser_ney(learned[k]) for k in models.languages]
+    asked = [prose(rng, 20), prose(rng, 20, ("lo", "ki", "the")), "zzz qqq", "a", "Wörd lomaki 12 ß", learned["a"][0]]
+    for _, buffer, begins in language_id.text_slices(batch(asked)):
+        got, chars = models.text_bits(buffer, begins)
+        assert np.allclose(got, [[f(x) for f in plain] for x in asked], rtol=1e-4)
+
+
+def test_quality_scores_against_plain_features():
+    """Features, margins and scores of texts, one by one, from plain words."""
+    import re
+
+    rng = random.Random(7)
+    texts = [prose(rng, 30) + (" BUY!!! now" if k % 2 else "") for k in range(80)] + ["", "x x x", "Ä b!"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    ((_, buffer, begins),) = list(quality.text_slices(batch))
+    rows = quality.features(buffer, begins)
+    alone = [quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(rows, alone, strict=True))
+
+    def shape(w):
+        kinds = [b if b < 128 and not chr(b).isalnum() else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else "a" for b in w.encode()]
+        return tuple(k for k, before in zip(kinds, [None, *kinds], strict=False) if k != before)
+
+    def plain(t):
+        words = re.findall(r"[^ \t\n\v\f\r]+", t)
+        low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+        own = {("w", x) for x in low} | {("s", shape(w)) for w in words}
+        own |= {("ww", *x) for x in zip(low, low[1:], strict=False)} | {("ss", shape(a), shape(b)) for a, b in zip(words, words[1:], strict=False)}
+        return own | {("same",) for a, b in zip(low, low[1:], strict=False) if a == b}
+
+    kept = [plain(t) for t in texts]
+    assert all(len(r) == len(k) or abs(len(r) - len(k)) <= 2 for r, k in zip(rows, kept, strict=True))  # hashes may meet
+    for i in range(0, 83, 7):
+        for k in range(83):
+            assert abs(len(np.intersect1d(rows[i], rows[k])) - len(kept[i] & kept[k])) <= 3
+    y = np.array([k % 2 for k in range(80)] + [0, 0, 1])
+    model = quality.Model(rows, y, np.arange(83) % 5 == 0)
+    for x in rows:
+        v = model.value[x].sum() / max(np.sqrt(model.scale[x].sum()), 1e-12) + model.bias
+        assert model.score(x) == pytest.approx(1 / (1 + np.exp(-(model.a * v + model.b))))
