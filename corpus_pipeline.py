@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, one operator of chatloom.llm per stage.
 
 Each stage is (name, function of (spark, docs, sf_dir)); what it returns is written and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, extra ones included, whatever
+their names. Null and empty texts have no language and go with the first stage. Repeated rows count as
+copies: one stays. Rows without a doc_id are kept or dropped for their text like others, and train no
+classifier. Very long texts are read in whole, cut only into sequences. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            work.drop(f"stage-{k - 1}")
     return docs
