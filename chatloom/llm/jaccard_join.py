@@ -16,8 +16,9 @@ distinct shingle sets, so exact copies meet in one node before anything is compa
    NEAREST best partners of other components. So a group of thousands of near copies grows together at
    a few pairs a set.
 5. What then still lies in different components of a tile is compared in whole, in blocks, bitmaps
-   first: a tile's largest component with its other sets, and these with each other. Pairs inside a
-   component need no test, so no link between components is lost.
+   first: a tile's largest component with its other sets, and these with each other. Tiles with the
+   same largest component that hold much the same sets are one group, in which a set stands once with
+   its list of tiles. Pairs inside a component need no test, so no link between components is lost.
 
 Null or blank texts have an empty set and link with nothing. Nothing is capped, sampled or dropped.
 """
@@ -45,6 +46,8 @@ BLOCK_BYTES = 16 << 20
 #: Rounds of contraction before the rest is compared, and partners that a set offers in one.
 CONTRACTIONS = 1
 NEAREST = 2
+#: Tiles are one group where that takes at most so many times the comparisons of tile by tile.
+GROUPED = 4
 #: Keys of sets (shingle, set) that a task sorts into tiles.
 KEYS_PER_TASK = 4_000_000
 NEIGHBOUR_TILES = np.uint64(4)
@@ -256,13 +259,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "shingles"])
 
 
-def block_pairs(n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray], across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile_masks(tiles: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set, one for each of the tiles that the sets stand in."""
+    every, at = np.unique(np.concatenate(tiles), return_inverse=True)
+    masks = np.zeros((len(tiles), -(-len(every) // 64)), np.uint64)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(len(tiles)), [len(t) for t in tiles]), at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    return masks
+
+
+def block_pairs(n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray], across: bool, tiles: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, most shingles in common) of the pairs of different components that sizes and bitmaps allow, given sets in order of size.
 
-    across: only pairs of different sides. A partner's bitmap is at most twice as wide, so each width is
+    across: only pairs of different sides. tiles: only pairs that share one of these. A partner's bitmap is at most twice as wide, so each width is
     stacked with the next one folded onto it.
     """
     width = np.array([len(b) for b in bits])
+    masks = _tile_masks(tiles) if tiles is not None else None
     out = [(np.zeros(0, np.int64),) * 3]
     for w in np.unique(width):
         own = np.flatnonzero((width == w) | (width == 2 * w))
@@ -272,6 +284,8 @@ def block_pairs(n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np
         for k in range(int((width == w).sum())):
             j = np.arange(k + 1, int(np.searchsorted(m, 100 * m[k] // PERCENT, "right")))
             j = j[(group[j] != group[k]) & ((part[j] != part[k]) if across else True)]
+            if masks is not None and len(j):
+                j = j[(masks[own[k]] & masks[own[j]]).any(1)]
             if not len(j):
                 continue
             shared = np.bitwise_count(stack[k] & stack[j]).sum(1, dtype=np.int64)
@@ -285,7 +299,8 @@ def block_pairs(n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np
 
 def _block(x: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     x = x.sort_values(["n", "fp"], ignore_index=True)
-    return x, *block_pairs(x["n"].to_numpy(), x["root"].to_numpy(), x["side"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["bits"]], bool(x["across"].iat[0]))
+    tiles = x["tiles"].tolist() if "tiles" in x and x["grouped"].iat[0] else None
+    return x, *block_pairs(x["n"].to_numpy(), x["root"].to_numpy(), x["side"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["bits"]], bool(x["across"].iat[0]), tiles)
 
 
 def _as_pairs(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -344,23 +359,32 @@ def _contraction(open_: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return held.select("h", "i", "fp", "n", "root", F.lit(0).alias("side"), F.lit(False).alias("across"), "bits").transform(_dealt, "h", "i").groupBy("h", "i").applyInPandas(_nearest_pairs, _CELL).distinct()
 
 
-def _remainder(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+def _remainder(open_: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
     """Every pair (a, b) of a tile's sets in different components that sizes and bitmaps allow."""
-    parts = open_.groupBy("h", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n") / 2).alias("bytes"))
-    tiles = parts.groupBy("h").agg(F.max(F.struct("rows", "root", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
-    tiles = tiles.select("h", F.col("top.root").alias("top"), F.col("top.rows").alias("top_rows"), F.col("top.bytes").alias("top_bytes"), (F.col("rows") - F.col("top.rows")).alias("rows"), (F.col("bytes") - F.col("top.bytes")).alias("bytes"))
-    whole = (_blocks("all_rows", "all_bytes") == 1).alias("whole")
-    tiles = tiles.select("*", (F.col("rows") + F.col("top_rows")).alias("all_rows"), (F.col("bytes") + F.col("top_bytes")).alias("all_bytes"))
-    tiles = tiles.select("h", "top", whole, _blocks("top_rows", "top_bytes").alias("tops"), _blocks("rows", "bytes").alias("others"))
-    held = open_.join(tiles, "h").withColumn("is_top", F.col("root") == F.col("top")).withColumn("salt", F.pmod(F.xxhash64("fp"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))  # noqa: E731  0: others with the largest component, 1: others with others, 2: a small tile by itself
+    tiles = open_.groupBy("h", "root").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root")).alias("top"), F.sum("rows").alias("size"))
+    placed = work.save(open_.join(tiles.select("h", F.col("top.root").alias("top"), "size"), "h"), "placed")
+    cost = placed.groupBy("top").agg(F.sum("size").alias("cost"))  # each tile's size squared
+    sets = placed.groupBy("top", "fp").agg(F.lit(1)).groupBy("top").agg(F.count("*").alias("sets"))
+    grouped = cost.join(sets, "top").select("top", (F.col("sets") * F.col("sets") <= GROUPED * F.col("cost")).alias("grouped"))
+    key = F.when(F.col("grouped"), F.col("top")).otherwise(F.col("h")).alias("g")
+    held = placed.join(grouped, "top").select("h", "fp", "n", "root", "grouped", key, (F.col("root") == F.col("top")).alias("is_top"))
+    held = work.save(held.groupBy("g", "grouped", "fp", "n", "root", "is_top").agg(F.collect_list("h").alias("tiles")), "held")  # as many as a set has keys
+
+    rows, size = (lambda x: F.count_if(x)), (lambda x: F.sum(F.when(x, F.col("n") / 2).otherwise(0)))
+    groups = held.groupBy("g", "grouped").agg(rows(F.col("is_top")).alias("r0"), size(F.col("is_top")).alias("s0"), rows(~F.col("is_top")).alias("r1"), size(~F.col("is_top")).alias("s1"))
+    groups = groups.select("*", (F.col("r0") + F.col("r1")).alias("r2"), (F.col("s0") + F.col("s1")).alias("s2"))
+    groups = groups.select("g", "grouped", (_blocks("r2", "s2") == 1).alias("whole"), _blocks("r0", "s0").alias("tops"), _blocks("r1", "s1").alias("others"))
+    held = held.join(groups, ["g", "grouped"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))  # noqa: E731  0: others with the largest component, 1: others with others, 2: a small group by itself
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     salt = F.col("salt")
     of_top = F.transform(upto("others"), lambda k: cell(0, k, salt))
     of_other = F.concat(F.transform(upto("tops"), lambda k: cell(0, salt, k)), F.transform(upto("others"), lambda k: cell(1, F.least(salt, k), F.greatest(salt, k))))
-    held = held.select("h", "fp", "n", "root", F.when(F.col("is_top"), -1).otherwise(salt).alias("side"), F.explode(F.when(F.col("whole"), F.array(cell(2, F.lit(0), F.lit(0)))).when(F.col("is_top"), of_top).otherwise(of_other)).alias("cell"))
-    held = held.select("h", "cell.*", "fp", "n", "root", "side").join(nodes.select("fp", "bits"), "fp").withColumn("across", (F.col("kind") == 0) | (F.col("i") != F.col("j")))
-    return _dealt(held, "h", "kind", "i", "j").groupBy("h", "kind", "i", "j").applyInPandas(_all_pairs, _CELL).distinct()
+    cells = F.when(F.col("whole"), F.array(cell(2, F.lit(0), F.lit(0)))).when(F.col("is_top"), of_top).otherwise(of_other)
+    held = held.select("g", "grouped", "fp", "n", "root", "tiles", F.when(F.col("is_top"), -1).otherwise(salt).alias("side"), F.explode(cells).alias("cell"))
+    held = held.select("g", "grouped", "cell.*", "fp", "n", "root", "side", "tiles").join(nodes.select("fp", "bits"), "fp").withColumn("across", (F.col("kind") == 0) | (F.col("i") != F.col("j")))
+    keys = ["g", "grouped", "kind", "i", "j"]
+    return _dealt(held, *keys).groupBy(*keys).applyInPandas(_all_pairs, _CELL).distinct()
 
 
 def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -387,7 +411,7 @@ def jaccard_components(docs: DataFrame, work: Workspace | None = None) -> DataFr
         open_ = _open_members(open_.select("h", "fp", "n"), roots, work, f"open-{turn}")
         if open_.isEmpty():
             break
-        pairs = _contraction(open_, nodes, turn) if turn < CONTRACTIONS else _remainder(open_, nodes)
+        pairs = _contraction(open_, nodes, turn) if turn < CONTRACTIONS else _remainder(open_, nodes, work)
         roots = _merged(roots, _verified(docs, nodes, pairs, work, f"turn-{turn}"), work, f"roots-{turn + 1}")
 
     smallest = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "root", "rep")
