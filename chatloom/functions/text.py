@@ -34,6 +34,15 @@ GENERIC_TITLES = (
 ILLEGAL_IN_NAMES = r"[\\/:*?\"<>|#%{}^~\[\]`]+"
 
 
+# The same characters one by one.
+WS_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def bind(x: Column, f) -> Column:
+    """f(x), where x is computed once however often f uses it: it is a lambda's variable there, not written out again."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def text(x) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
@@ -43,7 +52,7 @@ def sub(x: Column, pattern: str, by: str = "") -> Column:
 
 
 def trim(x) -> Column:
-    return sub(text(x), f"^{WS}+|{WS}+\\z")
+    return F.trim(text(x), F.lit(WS_CHARACTERS))
 
 
 def normalize_whitespace(x) -> Column:
@@ -71,21 +80,29 @@ def strip_platform_from_title(title, label: Column | str = "") -> Column:
 
 
 def is_generic_title(title, label: Column | str = "") -> Column:
-    clean = trim(sub(sub(normalize_whitespace(title), "[_-]+", " "), "[「」\"“”]"))
-    stripped = strip_platform_from_title(clean, label)
-    kept = F.when(stripped != "", stripped).otherwise(clean)
-    low = F.lower(normalize_whitespace(kept))
-    compact = sub(low, f"{WS}+")
-    own = F.lower(normalize_whitespace(F.lit(label) if isinstance(label, str) else label))
     names = [x.lower() for x in TITLE_LABELS]
-    named = low.isin(names) | compact.isin([x.replace(" ", "") for x in names]) | ((own != "") & ((low == own) | (compact == sub(own, f"{WS}+"))))
     patterns = "|".join(p.replace("$", r"\z").replace(r"\s", WS) for p in GENERIC_TITLES)
-    return (clean == "") | named | kept.rlike(f"(?i)(?:{patterns})")
+
+    def of_kept(kept: Column) -> Column:
+        squeezed = lambda x: F.struct(x.alias("low"), sub(x, f"{WS}+").alias("compact"))
+        names_it = lambda x, own: x["low"].isin(names) | x["compact"].isin([n.replace(" ", "") for n in names]) | ((own["low"] != "") & ((x["low"] == own["low"]) | (x["compact"] == own["compact"])))
+        mine = F.lower(normalize_whitespace(F.lit(label) if isinstance(label, str) else label))
+        named = bind(bind(F.lower(normalize_whitespace(kept)), squeezed), lambda x: bind(bind(mine, squeezed), lambda own: names_it(x, own)))
+        return named | kept.rlike(f"(?i)(?:{patterns})")
+
+    def of_clean(clean: Column) -> Column:
+        kept = bind(strip_platform_from_title(clean, label), lambda stripped: F.when(stripped != "", stripped).otherwise(clean))
+        return (clean == "") | bind(kept, of_kept)
+
+    return bind(trim(sub(sub(normalize_whitespace(title), "[_-]+", " "), "[「」\"“”]")), of_clean)
 
 
 def truncate(x, n: int) -> Column:
     """At most n characters, without a word that was cut; a single longer word is cut."""
-    y = normalize_whitespace(x)
+    return bind(normalize_whitespace(x), lambda y: _cut(y, n))
+
+
+def _cut(y: Column, n: int) -> Column:
     head = F.substring(y, 1, n)
     whole = trim(sub(head, rf"{WS}+{WS.replace('[', '[^', 1)}*\z"))
     return F.when(F.length(y) <= n, y).when(whole != "", whole).otherwise(trim(head))
@@ -97,8 +114,11 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
+nfkc = nfkc.asNondeterministic()  # so that Catalyst neither repeats it nor moves it below a projection into a filter
+
+
 def make_slug(x, fallback: str) -> Column:
-    cut = truncate(x, 80)
+    cut = _cut(normalize_whitespace(x), 80)  # not bound: a Python function's argument may hold no lambda of a lambda
     y = nfkc(F.when(cut != "", cut).otherwise(F.lit(fallback or "AI Chat")))
     y = F.substring(sub(sub(sub(y, ILLEGAL_IN_NAMES, " "), f"{WS}+", "_"), r"^_+|_+\z"), 1, 90)
     return F.when(y != "", y).otherwise(F.lit(fallback or "AI_Chat"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_whitespace, text
+from .text import bind, normalize_whitespace, text
 
 ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?"
 # Month names by number.
@@ -24,10 +24,13 @@ def _epoch(number: Column) -> Column:
 
 def normalize_timestamp(x) -> Column:
     """Epoch seconds, milliseconds or microseconds, or something like ISO 8601, as ISO with milliseconds; else empty."""
-    y = F.trim(text(x))
-    number = F.when(y.rlike(r"^[0-9]{1,18}(\.[0-9]+)?\z"), y.try_cast("double"))
-    found = F.regexp_extract(y, ISO, 0)
-    return F.when(number.isNotNull(), _iso(_epoch(number))).when(found != "", _iso(F.try_to_timestamp(found))).otherwise(F.lit(""))
+
+    def read(y: Column) -> Column:
+        number = F.when(y.rlike(r"^[0-9]{1,18}(\.[0-9]+)?\z"), y.try_cast("double"))
+        found = F.regexp_extract(y, ISO, 0)
+        return F.when(number.isNotNull(), _iso(_epoch(number))).when(found != "", _iso(F.try_to_timestamp(found))).otherwise(F.lit(""))
+
+    return bind(F.trim(text(x)), read)
 
 
 def plausible(x: Column, as_of_year: int, floor: int = 2020) -> Column:
@@ -36,13 +39,15 @@ def plausible(x: Column, as_of_year: int, floor: int = 2020) -> Column:
 
 
 def valid_timestamp(x, as_of_year: int) -> Column:
-    y = normalize_timestamp(x)
-    return F.when(plausible(y, as_of_year), y).otherwise(F.lit(""))
+    return bind(normalize_timestamp(x), lambda y: F.when(plausible(y, as_of_year), y).otherwise(F.lit("")))
 
 
 def read_time_candidate(x, as_of_year: int) -> Column:
     """Epochs as ISO; dates in other forms as they stand in the text."""
-    y = normalize_whitespace(x)
+    return bind(normalize_whitespace(x), lambda y: _time_in(y, as_of_year))
+
+
+def _time_in(y: Column, as_of_year: int) -> Column:
     ok = lambda t: F.when(F.regexp_extract(t, rf"{_EDGE}([0-9]{{4}}){_END}", 1).try_cast("int").between(2000, as_of_year + 1) | ~t.rlike(rf"{_EDGE}[0-9]{{4}}{_END}"), t).otherwise(F.lit(""))
     readable = rf"(?i){_EDGE}(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{{1,2}},?\s+[0-9]{{4}}(?:,?\s+[0-9]{{1,2}}:[0-9]{{2}}\s*(?:AM|PM)?)?"
     forms = [F.nullif(ok(F.regexp_extract(y, p, 0)), F.lit("")) for p in (ISO.replace("[T ]", r"[T\s]"), readable, r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日(?:\s*[0-9]{1,2}:[0-9]{2})?")]
@@ -63,7 +68,10 @@ def _year_for(month: Column, day: Column, as_of) -> Column:
 
 def history_date(x, as_of) -> Column:
     """struct(date, raw): the date that a history entry's text names, by the first form that it has, even if that is none in the calendar."""
-    y = normalize_whitespace(x)
+    return bind(normalize_whitespace(x), lambda y: _date_in(y, as_of))
+
+
+def _date_in(y: Column, as_of) -> Column:
     at = lambda p, k: F.regexp_extract(y, p, k)
     number = lambda p, k: at(p, k).try_cast("int")
     pair = lambda d, raw: F.struct(F.coalesce(d, F.lit("")).alias("date"), raw.alias("raw"))

@@ -158,3 +158,18 @@ def discovered_key(platform, conversation, url) -> Column:
     own = F.when(text(conversation) != "", text(conversation)).otherwise(last_id_segment(url))
     name = F.coalesce(detect_platform(url), F.lower(text(platform)))
     return F.when((name != "") & (own != ""), F.concat(name, F.lit(":"), F.lower(nfkc(own)))).otherwise(text(url))
+
+
+def rpc_id(url) -> Column:
+    """The RPC that a Gemini address names, or nothing."""
+    return F.coalesce(F.try_parse_url(_url(url), F.lit("QUERY"), F.lit("rpcids")), F.lit(""))
+
+
+def safe_rpc_label(url) -> Column:
+    """A Gemini address as scheme, host and path, with the RPC's name and form but no other parameter; an address that is none as its first 240 characters."""
+    rt = F.coalesce(F.try_parse_url(_url(url), F.lit("QUERY"), F.lit("rt")), F.lit(""))
+    scheme, authority = (F.lower(F.try_parse_url(_url(url), F.lit(part))) for part in ("PROTOCOL", "AUTHORITY"))
+    named = [F.when(v != "", F.concat(F.lit(f"{k}="), v)) for k, v in (("rpcids", rpc_id(url)), ("rt", rt))]
+    query = F.concat_ws("&", *named)
+    whole = F.concat(scheme, F.lit("://"), authority, F.when(path(url) == "", F.lit("/")).otherwise(path(url)), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.coalesce(whole, F.substring(_url(url), 1, 240))

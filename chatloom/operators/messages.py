@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_markdown, first_meaningful_line, is_generic_title, normalize_for_dedupe, normalize_whitespace, text, truncate
+from ..functions.text import bind, compact_markdown, first_meaningful_line, is_generic_title, normalize_for_dedupe, normalize_whitespace, text, truncate
 
 ROLES = ("user", "assistant", "system")
 SHORTEST_CONTAINED, LONGER_BY = 24, 24
@@ -117,39 +117,86 @@ def drop_echoes(m: DataFrame) -> DataFrame:
     return m.join(asked, ["conv_id", "norm", "role"], "left_anti").select(*[c for c in m.columns if c != "norm"])
 
 
+_TIMED = "array<struct<role: string, time: string>>"
+
+
+def aligned_times(mine: Column, theirs: Column) -> Column:
+    """Times of the messages `mine` (structs with role and time), those without one taken from `theirs` in step: each takes the next timed one of its role after the last one taken, whatever role that had."""
+    plain = lambda x: F.coalesce(F.transform(x, lambda m: F.struct(text(m["role"]).alias("role"), text(m["time"]).alias("time"))), F.array().cast(_TIMED))
+    timed = F.filter(F.transform(plain(theirs), lambda t, i: F.struct(i.cast("int").alias("i"), t["role"].alias("role"), t["time"].alias("time"))), lambda t: t["time"] != "")
+    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<string>").alias("out"))
+
+    def step(timed: Column, state: Column, r: Column) -> Column:
+        hit = F.get(F.filter(timed, lambda t: (t["i"] >= state["cursor"]) & (t["role"] == r["role"])), F.lit(0))
+        takes = (r["time"] == "") & hit.isNotNull()
+        return F.struct(F.when(takes, hit["i"] + 1).otherwise(state["cursor"]).alias("cursor"), F.concat(state["out"], F.array(F.when(takes, hit["time"]).otherwise(r["time"]))).alias("out"))
+
+    walk = lambda timed: F.aggregate(plain(mine), start, lambda state, r: step(timed, state, r), lambda s: s["out"])
+    return F.get(F.transform(F.array(timed), walk), F.lit(0))  # a lambda's variable, so that it is computed once
+
+
 def align_times(m: DataFrame, source: DataFrame) -> DataFrame:
-    """Times for messages without one: each takes the next timed source message of its role after the last one taken, whatever role that had.
+    """The rows of m with times of source (conv_id, seq, role, time) where they have none, by aligned_times().
 
-    Rows of source (conv_id, seq, role, time) are walked once per conversation with one cursor.
+    Each row of m comes back once, repeated or null numbers and ids included; rows of equal seq are
+    taken in the order of their other columns, which must have one.
     """
-    mine = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), text("role").alias("role"), text("time").alias("time")))).alias("mine"))
-    theirs = source.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), text("role").alias("role"), text("time").alias("time")))).alias("theirs"))
-    both = mine.join(theirs, "conv_id", "left").withColumn("theirs", F.coalesce("theirs", F.array().cast("array<struct<seq: bigint, role: string, time: string>>")))
-    both = both.withColumn("theirs", F.transform("theirs", lambda t, i: F.struct(i.cast("int").alias("i"), t["role"].alias("role"), t["time"].alias("time"))))
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<seq: bigint, time: string>>").alias("out"))
-
-    def step(state: Column, r: Column) -> Column:
-        hit = F.get(F.filter("theirs", lambda t: (t["i"] >= state["cursor"]) & (t["role"] == r["role"]) & (t["time"] != "")), F.lit(0))
-        takes = (r["time"] == "") & hit.isNotNull()
-        time = F.when(takes, hit["time"]).otherwise(r["time"])
-        return F.struct(F.when(takes, hit["i"] + 1).otherwise(state["cursor"]).alias("cursor"), F.concat(state["out"], F.array(F.struct(r["seq"].alias("seq"), time.alias("time")))).alias("out"))
+    mine = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", text("role").alias("role"), text("time").alias("time"), F.struct(*m.columns).alias("row")))).alias("mine"))
+    theirs = source.groupBy(F.col("conv_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("seq", text("role").alias("role"), text("time").alias("time")))).alias("theirs"))
+    both = mine.join(theirs, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("mine", aligned_times(F.col("mine"), F.col("theirs")).alias("times"))
+    rows = both.select(F.explode(F.arrays_zip("mine", "times")).alias("x"))
+    return rows.select(*(F.col("x.times").alias(c) if c == "time" else F.col(f"x.mine.row.{c}").alias(c) for c in m.columns))
+
+
+def _copies(conversations: DataFrame, cached: DataFrame, fields: list[str]) -> DataFrame:
+    """conversations with `got`, the structured copy of each: that of its own (platform, conversation_id), or without id the platform's latest.
+
+    Of copies with one key the latest counts, of equally late ones the larger.
+    """
+    one = F.struct("cached_at", F.col("conversation_id").alias("id"), *fields)
+    own = cached.groupBy("platform", "conversation_id").agg(F.max(one).alias("exact"))
+    latest = cached.groupBy("platform").agg(F.max(one).alias("latest"))
+    both = conversations.join(own, ["platform", "conversation_id"], "left").join(latest, "platform", "left")
+    return both.withColumn("got", F.when(text("conversation_id") == "", F.col("latest")).otherwise(F.col("exact"))).drop("exact", "latest")
 
-    told = both.select("conv_id", F.explode(F.aggregate("mine", start, step, lambda s: s["out"])).alias("t")).select("conv_id", F.col("t.seq").alias("seq"), F.col("t.time").alias("found"))
-    return m.join(told, ["conv_id", "seq"]).withColumn("time", F.col("found")).drop("found")
+
+def _first_of(c: str, k: str) -> Column:
+    return F.when(text(c) != "", text(c)).otherwise(F.coalesce(F.col(f"got.{k}"), F.lit(""))).alias(c)
 
 
 def enrich(conversations: DataFrame, cached: DataFrame) -> DataFrame:
-    """Fills empty title, id and time from a structured copy of the conversation: that of its own (platform, conversation_id), or without id the platform's latest.
+    """Fills empty title, id and time from a structured copy of the conversation, one row per row of conversations.
 
     Both: platform, conversation_id, title, conversation_time; cached also cached_at.
     """
-    own = cached.select("platform", "conversation_id", F.struct(F.col("conversation_id").alias("id"), "title", "conversation_time").alias("exact"))
-    latest = cached.groupBy("platform").agg(F.max_by(F.struct(F.col("conversation_id").alias("id"), "title", "conversation_time"), "cached_at").alias("latest"))
-    both = conversations.join(own, ["platform", "conversation_id"], "left").join(latest, "platform", "left")
-    got = F.when(text("conversation_id") == "", F.col("latest")).otherwise(F.col("exact"))
-    fill = lambda c, k: F.when(text(c) != "", text(c)).otherwise(F.coalesce(got[k], F.lit(""))).alias(c)
+    both = _copies(conversations, cached, ["title", "conversation_time"])
     others = [c for c in conversations.columns if c not in ("title", "conversation_id", "conversation_time")]
-    return both.select(*others, fill("title", "title"), fill("conversation_id", "id"), fill("conversation_time", "conversation_time"))
+    return both.select(*others, _first_of("title", "title"), _first_of("conversation_id", "id"), _first_of("conversation_time", "conversation_time"))
+
+
+def merge_structured(conversations: DataFrame, cached: DataFrame, times: bool = True) -> DataFrame:
+    """enrich() with messages (array of role, content, time) and source_url: messages of the page win, but for times that they lack; a page without messages takes the copy's.
+
+    times false: the copy's times, of conversation and messages, do not count.
+    """
+    got = F.transform("got.messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), (text(m["time"]) if times else F.lit("")).alias("time")))
+    both = _copies(conversations, cached, ["title", "conversation_time", "source_url", "messages"]).withColumn("copied", got)
+    none = F.coalesce(F.size("messages"), F.lit(0)) <= 0
+    takes = none & (F.coalesce(F.size("copied"), F.lit(0)) > 0)
+    told = F.zip_with("messages", aligned_times(F.col("messages"), F.col("copied")), lambda m, t: F.struct(m["role"].alias("role"), m["content"].alias("content"), t.alias("time"))) if times else F.col("messages")
+    messages = F.when(takes, F.col("copied")).when(none | F.col("got").isNull(), F.col("messages")).otherwise(told)
+    time = _first_of("conversation_time", "conversation_time") if times else text("conversation_time").alias("conversation_time")
+    id_ = F.when(takes, F.col("got.id")).otherwise(_first_of("conversation_id", "id")).alias("conversation_id")
+    url = F.when(takes, _first_of("source_url", "source_url")).otherwise(F.col("source_url")).alias("source_url")
+    changed = {"title", "conversation_id", "conversation_time", "source_url", "messages"}
+    return both.select(*(c for c in conversations.columns if c not in changed), url, _first_of("title", "title"), id_, time, messages.alias("messages"))
+
+
+def export_problem(conversations: DataFrame, m: DataFrame) -> DataFrame:
+    """conversations (conv_id, ...) with `problem`: 'no messages', 'no roles' (nobody asks or answers), or empty."""
+    said = m.groupBy("conv_id").agg(F.bool_or(F.col("role").isin("user", "assistant")).alias("_roles"))
+    problem = F.when(F.col("_n").isNull(), "no messages").when(~F.coalesce("_roles", F.lit(False)), "no roles").otherwise("")
+    return conversations.join(said.withColumn("_n", F.lit(1)), "conv_id", "left").withColumn("problem", problem).drop("_n", "_roles")
 
 
 def role_diversity(m: DataFrame) -> DataFrame:
@@ -185,9 +232,9 @@ def display_titles(conversations: DataFrame, m: DataFrame) -> DataFrame:
     """conversations (conv_id, platform, title, ...) with the title to show: its own, if that says anything, else the first line that the user (or anyone) wrote."""
     first = F.coalesce(F.min_by("content", F.when(F.col("role") == "user", F.col("seq"))), F.min_by("content", "seq"))
     lead = m.groupBy("conv_id").agg(first.alias("_lead"))
-    title = truncate("title", 140)
     said = truncate(first_meaningful_line("_lead"), 140)
-    shown = F.when((title != "") & ~is_generic_title(title, F.col("platform")), title).when(said != "", said).when(title != "", title).otherwise(F.lit("AI Chat"))
+    otherwise = lambda title: bind(said, lambda s: F.when(s != "", s).when(title != "", title).otherwise(F.lit("AI Chat")))
+    shown = bind(truncate("title", 140), lambda title: F.when((title != "") & ~is_generic_title(title, F.col("platform")), title).otherwise(otherwise(title)))
     return conversations.join(lead, "conv_id", "left").withColumn("title", shown).drop("_lead")
 
 
@@ -215,16 +262,35 @@ def needs_media(m: DataFrame) -> DataFrame:
     return m.groupBy("conv_id").agg(F.bool_or(own).alias("needs_media"))
 
 
-def more_specific_title(own, other) -> Column:
-    """The other title where it says more: nothing, then a platform's name, then any other."""
-    score = lambda t: F.when(normalize_whitespace(t) == "", 0).when(is_generic_title(t), 1).otherwise(2)
-    return F.when(score(other) > score(own), text(other)).otherwise(text(own))
+def title_specificity(title, platform=None) -> Column:
+    """0 for nothing, 1 for a title that any conversation may have, else its length, at most 160."""
+    generic = lambda clean: is_generic_title(clean, platform) if platform is not None else is_generic_title(clean)
+    return bind(normalize_whitespace(title), lambda clean: F.when(clean == "", 0).when(generic(clean), 1).otherwise(F.least(F.length(clean), F.lit(160))))
+
+
+def more_specific_title(own, other, platform=None) -> Column:
+    """The other title where there is none, or where it says more."""
+    better = (text(own) == "") | (title_specificity(other, platform) > title_specificity(own, platform))
+    return F.when((text(other) != "") & better, text(other)).otherwise(text(own))
+
+
+def time_precision(time) -> Column:
+    """0 for nothing, 2 for a day with a time of day, 1 for anything else."""
+    return F.when(F.trim(text(time)) == "", 0).when(text(time).rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), 2).otherwise(1)
 
 
 def more_precise_time(own, other) -> Column:
-    """The other time where it is more precise: nothing, then anything, then a day, then a time of day."""
-    score = lambda t: F.when(text(t) == "", 0).when(text(t).rlike(r"[0-9]{1,2}:[0-9]{2}"), 3).when(text(t).rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), 2).otherwise(1)
-    return F.when(score(other) > score(own), text(other)).otherwise(text(own))
+    """The other time where there is none, or where it is more precise."""
+    better = (text(own) == "") | (time_precision(other) > time_precision(own))
+    return F.when((text(other) != "") & better, text(other)).otherwise(text(own))
+
+
+def apply_overrides(conversations: DataFrame, overrides: DataFrame) -> DataFrame:
+    """conversations (conv_id, platform, title, conversation_time, conversation_id, ...) with what overrides (conv_id and any of the three fields, one row per conv_id) know better: the title if it says more, the time if it is more precise, the id always."""
+    given = overrides.select(F.col("conv_id").alias("_of"), *((F.col(c) if c in overrides.columns else F.lit(None).cast("string")).alias(f"_{c}") for c in ("title", "conversation_time", "conversation_id")))
+    both = conversations.join(given, F.col("conv_id") == F.col("_of"), "left")
+    both = both.withColumn("title", more_specific_title("title", "_title", F.col("platform"))).withColumn("conversation_time", more_precise_time("conversation_time", "_conversation_time"))
+    return both.withColumn("conversation_id", F.when(text("_conversation_id") != "", F.col("_conversation_id")).otherwise(F.col("conversation_id"))).select(*conversations.columns)
 
 
 def compacted(m: DataFrame) -> DataFrame:

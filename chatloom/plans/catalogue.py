@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import times, urls
 from ..functions.html import html_links, html_to_markdown
+from ..operators import graph, render, sync, validate
 from ..operators import messages as ms
-from ..operators import render, sync, validate
+from ..runtime import shared_folder
 from ..sources import files, pages, payloads
 from ..streaming import state
 from . import derived as d
@@ -211,7 +212,8 @@ def dedupe_same_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.dedupe_same_role(d.derived(spark, sf_dir, d.MESSAGES_TWICE, "conversations")).select("conv_id", "seq", "role")
 
 
-@query()
+@query(f"""WITH m AS (SELECT conv_id, turn * 4 AS seq, role, {_NORM.replace('content', 'text')} AS norm FROM conversations WHERE length({s_white('text')}) >= 2)
+SELECT conv_id, seq, role FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.conv_id = a.conv_id AND b.role = a.role AND length(a.norm) >= 24 AND length(b.norm) >= length(a.norm) + 24 AND contains(b.norm, a.norm))""")
 def dedupe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.dedupe(d.derived(spark, sf_dir, d.MESSAGES_TWICE, "conversations")).select("conv_id", "seq", "role")
 
@@ -227,7 +229,8 @@ def contained_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.drop_contained(d.derived(spark, sf_dir, d.MESSAGES_INSIDE, "conversations")).select("conv_id", "seq", "role")
 
 
-@query()
+# The source has a time for every message but the user's at odd turns, and no conversation has users at odd and even turns.
+@query("SELECT conv_id, turn AS seq, role, CASE WHEN turn % 2 = 0 OR role = 'assistant' THEN concat('2025-01-01T00:00:0', turn, 'Z') ELSE '' END AS time FROM conversations")
 def align_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = said(spark, sf_dir).withColumn("time", F.lit(""))
     source = m.where("seq % 2 = 0 OR role = 'assistant'").withColumn("time", F.concat(F.lit("2025-01-01T00:00:0"), F.col("seq").cast("string"), F.lit("Z")))
@@ -363,22 +366,18 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.evidence_pairs(d.derived(spark, sf_dir, _HITS, "documents"), d.derived(spark, sf_dir, _STAMPS, "documents")).select("doc", "id", "ts", "distance", "rank")
 
 
-_CHAIN = """WITH RECURSIVE up AS (SELECT conv_id, turn, 0 AS depth FROM {t} WHERE turn = (SELECT max(turn) FROM {t} m WHERE m.conv_id = {t}.conv_id)
-  UNION ALL SELECT c.conv_id, c.turn, depth + 1 FROM {t} c JOIN up ON up.conv_id = c.conv_id AND c.turn = up.turn - 1)
-SELECT conv_id, turn, CAST(depth AS INT) AS depth FROM up"""
+_PARENTS = """SELECT conv_id, concat('n', CAST(turn AS VARCHAR(20))) AS node, CASE WHEN turn > 0 THEN concat('n', CAST(turn - 1 AS VARCHAR(20))) END AS parent FROM conversations
+  UNION ALL SELECT conv_id, concat('x', CAST(turn AS VARCHAR(20))), concat('n', CAST(turn AS VARCHAR(20))) FROM conversations"""
+_LAST = "SELECT conv_id, concat('n', CAST(max(turn) AS VARCHAR(20))) AS node FROM conversations GROUP BY conv_id"
 
 
-@query(_CHAIN.format(t="conversations"))
+@query(f"""WITH RECURSIVE nodes AS ({_PARENTS}), up AS (SELECT n.conv_id, n.node, n.parent, 0 AS depth FROM nodes n JOIN ({_LAST}) l ON l.conv_id = n.conv_id AND l.node = n.node
+  UNION ALL SELECT n.conv_id, n.node, n.parent, depth + 1 FROM nodes n JOIN up ON up.conv_id = n.conv_id AND n.node = up.parent)
+SELECT conv_id, node, CAST(depth AS INT) AS depth FROM up""")
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each conversation's last turn to the first by parents, as a recursive query."""
-    turns = d.table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
-    return spark.sql(
-        """WITH RECURSIVE up AS (SELECT conv_id, turn, 0 AS depth FROM {last} UNION ALL SELECT c.conv_id, c.turn, depth + 1 FROM {turns} c JOIN up ON up.conv_id = c.conv_id AND c.turn = up.turn - 1)
-        SELECT conv_id, turn, depth FROM up""",
-        last=last,
-        turns=turns,
-    )
+    """From each conversation's last node to the root by parents, past branches that were given up."""
+    both = (d.derived(spark, sf_dir, sql, "conversations") for sql in (_PARENTS, _LAST))
+    return graph.paths(*both)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k'), '') AS first FROM events")
@@ -530,7 +529,7 @@ def stream_earliest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """earliest_per_key as one micro-batch of a stream over the events file, read back from its sink."""
     import uuid
 
-    root = f"{_shared(spark)}/chatloom-stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/chatloom-stream-{uuid.uuid4().hex}"
     source = d.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet")
     raw = spark.sql(d.RAW_TIMES_SPARK.replace("FROM events", "FROM {events}"), events=stream)
@@ -542,13 +541,6 @@ def stream_earliest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("conversation_id", "r.*")
 
 
-def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or on a single machine a folder of its own."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chatloom-')}").rstrip("/")
-
-
 @query(f"SELECT platform, conversation_id, max(n)::INT AS n_messages FROM (SELECT m.platform, m.conversation_id, c.n FROM ({d.CONV_META}) m JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = m.conv_id) x GROUP BY ALL")
 def longest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.lit("").alias("time")))
@@ -569,3 +561,6 @@ def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def debug_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = files.debug_snapshot(meta(spark, sf_dir), said(spark, sf_dir))
     return x.select("conv_id", F.get_json_object("json", "$.n_messages").cast("long").alias("n_messages"))
+
+
+from . import captures, discovery  # noqa: E402, F401  their queries register themselves here

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 #: Bytes of an Arrow batch between the JVM and a Python worker, unless the session's configuration names its own bound;
@@ -31,3 +32,21 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(archive))
     context._chatloom_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset on a single machine (as in tests), a local folder that this sets."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='chatloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: lineage ends there, and a lost executor costs a reread."""
+    path = f"{shared_folder(frame.sparkSession)}/chatloom-{label}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -15,7 +15,7 @@ def tables(spark, tmp_path_factory):
     docs = [(i, f"Text {i}\n\n\n  more   words  x " * (1 + i % 4), "en", "s", 40 * (1 + i % 4) * 700) for i in range(24)]
     start = datetime.datetime(2024, 1, 1)
     events = [(i, start + datetime.timedelta(hours=i), i % 7, "view", float(i), f'{{"k": {i % 3}, "v": "x"}}') for i in range(60)]
-    pages = [(1, "http://a.example.com/en/1?x=2", "<p>a<p><b>x</b>"), (2, "https://b.example.org/longidentifier/#top", None)]
+    pages = [(1, "http://a.example.com/en/1?x=2", "<p>a<p><b>x</b><a href='/one'> First <i>link</i></a><a>none</a><a href='https://b/2'></a>"), (2, "https://b.example.org/longidentifier/#top", None)]
     for name, rows, schema in (
         ("conversations", talks, "conv_id long, turn long, role string, text string"),
         ("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"),
@@ -53,6 +53,10 @@ def test_queries_without_sql_run(spark, tables, name):
     assert QUERIES[name](spark, tables).count() > 0
 
 
+def test_page_links_as_they_stand(spark, tables):
+    assert [tuple(r) for r in QUERIES["page_links"](spark, tables).orderBy("page_id", "ord").collect()] == [(1, 0, "/one", "First link"), (1, 1, "https://b/2", "")]
+
+
 def test_entry_point_without_the_optional_packages(monkeypatch):
     import __spark_entry__ as entry
 
