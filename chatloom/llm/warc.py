@@ -203,7 +203,7 @@ def write_archives(archives: DataFrame, folder: str) -> None:
     """Each image (archive, image) as a gzipped file of its own below folder; one without a line end at its end gets one."""
     cut = F.when(F.endswith("image", F.lit(b"\n")), F.expr("substring(image, 1, length(image) - 1)")).otherwise(F.col("image"))
     # the text writer puts the bytes of a string as they are, and a line end after them
-    archives.select(cut.cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", "\n").text(folder)
+    archives.select(cut.cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
