@@ -48,6 +48,8 @@ CONTRACTIONS = 1
 NEAREST = 2
 #: Tiles are one group where that takes at most so many times the comparisons of tile by tile.
 GROUPED = 4
+#: Tasks that the sets around one component meet its decision in.
+SALTS = 64
 #: Keys of sets (shingle, set) that a task sorts into tiles.
 KEYS_PER_TASK = 4_000_000
 NEIGHBOUR_TILES = np.uint64(4)
@@ -367,7 +369,9 @@ def _remainder(open_: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame
     sets = placed.groupBy("top", "fp").agg(F.lit(1)).groupBy("top").agg(F.count("*").alias("sets"))
     grouped = cost.join(sets, "top").select("top", (F.col("sets") * F.col("sets") <= GROUPED * F.col("cost")).alias("grouped"))
     key = F.when(F.col("grouped"), F.col("top")).otherwise(F.col("h")).alias("g")
-    held = placed.join(grouped, "top").select("h", "fp", "n", "root", "grouped", key, (F.col("root") == F.col("top")).alias("is_top"))
+    salted = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one component may hold a third of all rows
+    held = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["top", "salt"])
+    held = held.select("h", "fp", "n", "root", "grouped", key, (F.col("root") == F.col("top")).alias("is_top"))
     held = work.save(held.groupBy("g", "grouped", "fp", "n", "root", "is_top").agg(F.collect_list("h").alias("tiles")), "held")  # as many as a set has keys
 
     rows, size = (lambda x: F.count_if(x)), (lambda x: F.sum(F.when(x, F.col("n") / 2).otherwise(0)))
