@@ -534,33 +534,111 @@ def stream_earliest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet")
     raw = spark.sql(d.RAW_TIMES_SPARK.replace("FROM events", "FROM {events}"), events=stream)
     x = raw.select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("conversation_id"), F.lit("ChatGPT").alias("platform"), F.col("raw").alias("timestamp"), F.concat(F.lit("title "), F.col("event_id").cast("string")).alias("title"), F.col("raw").alias("updated_at"))
-    q = state.stream_earliest_times(x, expires=False).writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(state.upsert_sink(f"{root}/times", ["conversation_id"])).trigger(availableNow=True).start()
-    q.awaitTermination()
+    state.save_stream(state.stream_earliest_times(x, expires=False), f"{root}/times", f"{root}/checkpoint", None).awaitTermination()
     rows = spark.read.option("basePath", f"{root}/times").parquet(f"{root}/times").drop("batch")
     newest = rows.groupBy("conversation_id").agg(F.max_by(F.struct("timestamp", "title", "updated_at"), "cached_at").alias("r"))
     return newest.select("conversation_id", "r.*")
 
 
-@query(f"SELECT platform, conversation_id, max(n)::INT AS n_messages FROM (SELECT m.platform, m.conversation_id, c.n FROM ({d.CONV_META}) m JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = m.conv_id) x GROUP BY ALL")
-def longest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LONGEST = f"""SELECT m.platform, m.conversation_id, m.source_url, m.title, m.conversation_time, md5(string_agg(concat(c.role, ':', c.text), chr(10) ORDER BY c.turn)) AS messages_md5
+FROM ({d.CONV_META}) m JOIN conversations c ON c.conv_id = m.conv_id GROUP BY ALL"""
+
+
+def _captured_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as captured in whole and, later, its first message without a title."""
     part = F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.lit("").alias("time")))
     talks = said(spark, sf_dir).groupBy("conv_id").agg(part.alias("messages"))
     whole = meta(spark, sf_dir).join(talks, "conv_id").select("platform", "conversation_id", "source_url", "title", "conversation_time", "messages")
-    events = whole.withColumn("ord", F.lit(1)).unionByName(whole.withColumn("messages", F.slice("messages", 1, 2)).withColumn("ord", F.lit(2)))
-    return state.longest_conversations(events).select("platform", "conversation_id", F.size("messages").alias("n_messages"))
+    later = whole.withColumn("messages", F.slice("messages", 1, 1)).withColumn("title", F.lit(""))
+    return whole.withColumn("ord", F.lit(1)).unionByName(later.withColumn("ord", F.lit(2)))
+
+
+def _told(x: DataFrame) -> DataFrame:
+    said_ = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return x.select("platform", "conversation_id", "source_url", "title", "conversation_time", md5(said_).alias("messages_md5"))
+
+
+@query(_LONGEST)
+def longest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(state.longest_conversations(_captured_twice(spark, sf_dir)))
+
+
+@query(_LONGEST)
+def stream_longest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """longest_per_key as a stream over captures that were written to files."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/chatloom-talks-{uuid.uuid4().hex}"
+    captured = _captured_twice(spark, sf_dir)
+    captured.write.parquet(f"{root}/captures")
+    stream = spark.readStream.schema(captured.schema).parquet(f"{root}/captures")
+    state.save_stream(state.stream_longest_conversations(stream), f"{root}/talks", f"{root}/checkpoint", None).awaitTermination()
+    rows = spark.read.option("basePath", f"{root}/talks").parquet(f"{root}/talks").drop("batch")
+    return _told(state.compact(rows, ["platform", "conversation_id"], rows.count()))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type, of a stream over the events file."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/chatloom-once-{uuid.uuid4().hex}"
+    schema = d.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type")
+    once = state.exactly_once(stream, ["user_id", "event_type"], expires=False)
+    once.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{root}/rows")
 
 
-@query(f"SELECT count(*) AS files FROM ({d.EXPORTS}) e")
+@query(f"SELECT relative_path, split_part(relative_path, '/', -1) AS basename, platform, source_url, conversation_id FROM ({d.EXPORTS}) e")
 def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snapshot of the derived exports, and how many files are read back from it."""
+    """The snapshot of the derived exports, and the files that are read back from it."""
     x = _exports(spark, sf_dir).withColumn("filename", F.col("relative_path")).withColumn("title", F.lit("")).withColumn("needs_media", F.lit("false"))
-    return files.snapshot_json(x).select(F.size(F.from_json("json", files.SNAPSHOT)["files"]).cast("long").alias("files"))
+    f = files.snapshot_json(x).select(F.explode(F.from_json("json", files.SNAPSHOT)["files"]).alias("f"))
+    return f.select(F.col("f.relativePath").alias("relative_path"), "f.basename", "f.metadata.platform", F.col("f.metadata.sourceUrl").alias("source_url"), F.col("f.metadata.conversationId").alias("conversation_id"))
 
 
-@query(f"SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+@query(f"""SELECT m.conv_id, m.platform, m.title, count(*) AS n_messages, count(*) FILTER (c.role = 'user') AS n_user, count(*) FILTER (c.role = 'assistant') AS n_assistant, left(min_by(c.text, c.turn), 160) AS first_text
+FROM ({d.CONV_META}) m JOIN conversations c ON c.conv_id = m.conv_id GROUP BY m.conv_id, m.platform, m.title""")
 def debug_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = files.debug_snapshot(meta(spark, sf_dir), said(spark, sf_dir))
-    return x.select("conv_id", F.get_json_object("json", "$.n_messages").cast("long").alias("n_messages"))
+    at = lambda k: F.get_json_object("json", f"$.{k}")
+    return x.select("conv_id", at("platform").alias("platform"), at("title").alias("title"), *(at(k).cast("long").alias(n) for k, n in (("n_messages", "n_messages"), ("user", "n_user"), ("assistant", "n_assistant"))), at("samples[0].text").alias("first_text"))
+
+
+@query(f"""SELECT DISTINCT rule, key FROM (SELECT * FROM ({_KEYS.replace(f'({d.EXPORTS})', f"(SELECT * FROM ({d.EXPORTS}) z WHERE id % 3 <> 0)")}) a UNION ALL SELECT * FROM ({_KEYS.replace(f'({d.EXPORTS})', f"(SELECT * FROM ({d.EXPORTS}) z WHERE id % 2 = 0)")}) b) u""")
+def remembered_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export index to which the keys of files just written are added."""
+    known = sync.export_index_keys(_exports(spark, sf_dir).where("id % 3 <> 0"))
+    return sync.remember_exports(known, _exports(spark, sf_dir).where("id % 2 = 0"))
+
+
+@query("SELECT page_id, concat('{\"page\": ', page_id, ', \"list\": [1, 2]}') AS body FROM pages UNION ALL SELECT page_id, concat('[[\"c_', page_id, '\"], ', page_id, ']') FROM pages")
+def embedded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON in pages' own scripts: state, data callbacks, and a broken one."""
+    k = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<body><script id="__NEXT_DATA__" type="application/json">{"page": '), k, F.lit(', "list": [1, 2]}</script><script>AF_initDataCallback({key: \'ds:1\', hash: \'2\', data:[["c_'), k, F.lit('"], '), k, F.lit("], sideChannel: {}});</script><script>AF_initDataCallback({key: 'ds:2', data:[broken, sideChannel: {}});</script></body>"))
+    x = d.table(spark, sf_dir, "pages").select(k.alias("url"), html.alias("html"))
+    return payloads.page_payloads(x).select(F.col("url").cast("long").alias("page_id"), "body")
+
+
+@query("""SELECT doc_id, md5(text) AS back_md5, md5(trim(replace(replace(replace(text, '|', '\\|'), chr(13) || chr(10), ' '), chr(10), ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS cell_md5, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS flag, concat('a/b', doc_id, '.md') AS path,
+  strftime(make_timestamp(CAST((1735689600 + doc_id % 86400) * 1000000 + 5000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.005Z') AS told FROM documents WHERE text IS NOT NULL""")
+def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data addresses and back, table cells, flags, clean paths, pairs of seconds and nanoseconds."""
+    x = d.table(spark, sf_dir, "documents").where("text is not null")
+    flag = t.boolean_override(F.when(F.col("doc_id") % 3 == 0, " TRUE ").when(F.col("doc_id") % 3 == 1, "false").otherwise("no"))
+    path = t.clean_path(F.concat(F.lit("../a\\./b"), F.col("doc_id").cast("string"), F.lit(".md")))
+    told = times.pair_timestamp(F.lit(1735689600) + F.col("doc_id") % 86400, F.lit(5_000_000))
+    back = t.from_data_url(F.concat(F.lit("data:text/markdown;base64,"), t.to_base64("text")))
+    return x.select("doc_id", md5(back).alias("back_md5"), md5(t.escape_table_cell("text")).alias("cell_md5"), F.coalesce(flag.cast("string"), F.lit("")).alias("flag"), path.alias("path"), told.alias("told"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE turn % 3 <> 1 AND conv_id % 4 <> 0 AND text <> ''")
+def valid_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without unknown roles and texts of blanks."""
+    x = said(spark, sf_dir).withColumn("role", F.when(F.col("seq") % 3 == 1, "tool").otherwise(F.col("role"))).withColumn("content", F.when(F.col("conv_id") % 4 == 0, " \n\t").otherwise(F.col("content")))
+    return ms.valid_messages(x).select("conv_id", F.col("seq").alias("turn"), "role")
 
 
 from . import captures, discovery  # noqa: E402, F401  their queries register themselves here

@@ -361,16 +361,3 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield x[["url", "conversation_id"]].assign(platform=x["platform"].map(PLATFORM_LABELS), title=[g["title"] for g in got], messages=[g["messages"] for g in got])
 
     return chats.mapInPandas(run, "url string, conversation_id string, platform string, title string, messages array<struct<role: string, content: string, time: string>>")
-
-
-def history_links(pages: DataFrame) -> DataFrame:
-    """Links of pages (url, html) to conversations of any platform: page url, ord, conversation url, text."""
-    from pyspark.sql import functions as F
-
-    from ..functions.html import html_links
-    from ..functions.urls import conversation_url
-
-    links = pages.select(F.col("url").alias("page_url"), F.posexplode(html_links("html")).alias("ord", "link"))
-    host = F.regexp_extract("page_url", "^([a-z]+://[^/?#]+)", 1)
-    target = F.when(F.col("link.href").startswith("/"), F.concat(host, F.col("link.href"))).otherwise(F.col("link.href"))
-    return links.select("page_url", "ord", conversation_url(target).alias("url"), F.col("link.text").alias("text")).where("url <> ''")

@@ -20,10 +20,17 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import is_payload_endpoint
 
-# How deep and how wide a payload is searched.
-DEPTH, TEXT_DEPTH, RPC_DEPTH, UNWRAP_DEPTH = 12, 8, 16, 4
-WIDEST, WIDEST_GENERIC = 1000, 500
-RPC_BLOBS, RPC_LINES = 20, 50
+
+@dataclass(frozen=True)
+class Limits:
+    """How deep and how wide a payload is searched: in whole, unless a caller says otherwise. What a limit leaves out is told by an event of kind 'skipped'."""
+
+    depth: float = math.inf
+    widest: float = math.inf
+    lines: float = math.inf
+
+
+WHOLE = Limits()
 
 # Keys by what they hold, in the order in which they are tried.
 TEXT_KEYS = "text markdown body content message value response prompt answer fragments parts content_block contentBlock content_blocks contentBlocks content_blocks_v2 contentBlocksV2 content_obj contentObj text_block textBlock".split()
@@ -143,7 +150,7 @@ def json_in_string(x):
     if isinstance(x, str) and x.strip()[:1] in ("{", "["):
         try:
             return json.loads(x)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
     return None
 
@@ -155,7 +162,7 @@ def is_reasoning(x: dict) -> bool:
 
 def text_of(x, depth: int = 0, parse: bool = False) -> str:
     """Text of a content value: lists by paragraphs, objects by the first text key that is there, without reasoning."""
-    if x is None or isinstance(x, bool) or depth > TEXT_DEPTH:
+    if x is None or isinstance(x, bool):
         return ""
     if parse and (inner := json_in_string(x)) is not None:
         return text_of(inner, depth + 1, True)
@@ -192,8 +199,19 @@ def content_of(x: dict, shape: Shape) -> str:
 class Scanner:
     """One payload's walk."""
 
-    def __init__(self, platform: str, as_of_year: int):
-        self.shape, self.year, self.events = SHAPES[platform], as_of_year, []
+    def __init__(self, platform: str, as_of_year: int, limits: Limits = WHOLE):
+        self.shape, self.year, self.limits, self.events = SHAPES[platform], as_of_year, limits, []
+
+    def over(self, x, depth: int) -> bool:
+        """Whether a limit stops the walk here."""
+        stops = depth > self.limits.depth or (isinstance(x, list) and len(x) > self.limits.widest)
+        if stops:
+            self.skipped()
+        return stops
+
+    def skipped(self) -> None:
+        if not any(e["kind"] == "skipped" for e in self.events):
+            self.events.append({"kind": "skipped", "conversation_id": "", "title": "", "time": "", "updated_at": "", "messages": []})
 
     def time(self, x, keys) -> str:
         return timestamp(first_value(x, keys), self.year)
@@ -218,7 +236,7 @@ class Scanner:
         return first_value(x, self.shape.role_keys[:8]) != "" or direct or self.time(x, self.shape.message_time) != ""
 
     def unwrap(self, x, depth: int = 0):
-        if not isinstance(x, dict) or depth > UNWRAP_DEPTH or self.like_message(x):
+        if not isinstance(x, dict) or self.like_message(x):
             return x
         for k in WRAPPERS:
             if isinstance(x.get(k), dict) and self.like_message(inner := self.unwrap(x[k], depth + 1)):
@@ -239,11 +257,9 @@ class Scanner:
         return (times[0] if self.shape.first_time else min(times)) if times else ""
 
     def scan(self, x, known: dict, depth: int = 0) -> None:
-        if not isinstance(x, (dict, list)) or depth > DEPTH:
+        if not isinstance(x, (dict, list)) or self.over(x, depth):
             return
         if isinstance(x, list):
-            if len(x) > WIDEST:
-                return
             messages = [m for item in x if (m := self.message(item))]
             if len(messages) >= 2 and {"user", "assistant"} <= {m["role"] for m in messages}:
                 conversation = known.get("id") or (next((i for item in x if (i := self.id(self.unwrap(item) if self.shape.wrapped else item))), "") if self.shape.own_ids else "")
@@ -267,9 +283,9 @@ class Scanner:
     def _known(self, x: dict, known: dict) -> dict:
         return {"id": self.id(x) or known.get("id", ""), "title": self.title(x) or known.get("title", ""), "time": self.time(x, self.shape.conversation_time) or known.get("time", "")}
 
-    def generic(self, x) -> None:
+    def generic(self, x, depth: int = 0) -> None:
         """Objects that hold an id and a time of any spelling."""
-        if not isinstance(x, (dict, list)) or (isinstance(x, list) and len(x) > WIDEST_GENERIC):
+        if not isinstance(x, (dict, list)) or self.over(x, depth):
             return
         items = list(x.items()) if isinstance(x, dict) else []
         plain = [(k, v) for k, v in items if isinstance(v, (str, int, float)) and not isinstance(v, bool)]
@@ -277,7 +293,7 @@ class Scanner:
         time = lambda v: timestamp(v, self.year)
         self.say_time(pick(GENERIC_ID, str), pick(GENERIC_TIME, time), pick(GENERIC_TITLE, lambda v: v if isinstance(v, str) else ""), pick(GENERIC_UPDATED, time))
         for child in x.values() if isinstance(x, dict) else x:
-            self.generic(child)
+            self.generic(child, depth + 1)
 
     def listed(self, x, time_keys: tuple[str, ...], id_key: str, title_keys: tuple[str, ...], holders: tuple[str, ...]) -> None:
         """A conversation's own record, or a list of them, under one of the holders."""
@@ -291,7 +307,7 @@ class Scanner:
                 self.listed(nested, time_keys, id_key, title_keys, holders)
 
     def gemini_turns(self, x, out: list, depth: int = 0) -> None:
-        if not isinstance(x, list) or depth > DEPTH:
+        if not isinstance(x, list) or self.over(x, depth):
             return
         if turn := self.gemini_turn(x):
             out.append(turn)
@@ -317,7 +333,7 @@ class Scanner:
         return timestamp(round(x[0] * 1000 + nanos / 1e6), self.year) if 1e9 <= x[0] <= 3e9 and 0 <= nanos < 1e9 else ""
 
     def gemini_history(self, x, depth: int = 0) -> None:
-        if not isinstance(x, list) or depth > DEPTH:
+        if not isinstance(x, list) or self.over(x, depth):
             return
         if len(x) > 5 and (conversation := gemini_id(x[0])) and (time := self.pair(x[5])):
             self.say_time(conversation, time, x[1] if isinstance(x[1], str) else "")
@@ -328,7 +344,10 @@ class Scanner:
         """The RPC's text form: a guard line, then lines of JSON whose envelopes hold JSON again."""
         clean = re.sub(r"^\)\]\}'\s*\n?", "", body)
         turns: list[dict] = []
-        for line in clean.split("\n")[:RPC_LINES]:
+        for k, line in enumerate(clean.split("\n")):
+            if k >= self.limits.lines:
+                self.skipped()
+                break
             data = json_in_string(line.strip())
             if data is None:
                 continue
@@ -368,14 +387,14 @@ def gemini_id(x) -> str:
     return m[1] if m else ""
 
 
-def _answers(x, out: list, depth: int = 0) -> None:
-    if not isinstance(x, list) or depth > RPC_DEPTH:
+def _answers(x, out: list) -> None:
+    if not isinstance(x, list):
         return
     if len(x) > 1 and isinstance(x[0], str) and x[0][:3].lower() == "rc_" and isinstance(x[1], list) and x[1] and isinstance(x[1][0], str):
         out.append(x[1][0])
         return
     for item in x:
-        _answers(item, out, depth + 1)
+        _answers(item, out)
 
 
 def graph_path(mapping: dict, start: str | None) -> list[dict]:
@@ -436,16 +455,24 @@ def grok_responses(data) -> list:
     return [r for r in found if isinstance(r, dict) and not r.get("partial")]
 
 
-def scan_payload(platform: str | None, url: str | None, body: str | None, as_of_year: int) -> list[dict]:
-    """Events of one payload; none for other platforms or broken bodies."""
+def scan_payload(platform: str | None, url: str | None, body: str | None, as_of_year: int, limits: Limits = WHOLE) -> list[dict]:
+    """Events of one payload; none for other platforms or broken bodies. What is nested deeper than Python's stack is skipped, and told so."""
     if platform not in SHAPES or not body:
         return []
-    s = Scanner(platform, as_of_year)
+    s = Scanner(platform, as_of_year, limits)
+    try:
+        _scan_all(s, platform, url, body)
+    except RecursionError:
+        s.skipped()
+    return s.events
+
+
+def _scan_all(s: Scanner, platform: str, url: str | None, body: str) -> None:
     data = json_in_string(body)
     if platform == "gemini" and not isinstance(data, dict):
         s.gemini_text(body)
     if data is None:
-        return s.events
+        return
     if platform == "chatgpt":
         s.listed(data, ("create_time", "update_time"), "id", ("title",), ("items", "conversations", "data", "results"))
         s.chatgpt_graph(data)
@@ -463,19 +490,18 @@ def scan_payload(platform: str | None, url: str | None, body: str | None, as_of_
     elif isinstance(data, dict):
         s.scan(data, {})
         s.generic(data)
-    return s.events
 
 
 _EVENT = "kind string, conversation_id string, title string, time string, updated_at string, messages array<struct<role: string, content: string, time: string>>"
 
 
-def scan_payloads(payloads: DataFrame, as_of_year: int) -> DataFrame:
+def scan_payloads(payloads: DataFrame, as_of_year: int, limits: Limits = WHOLE) -> DataFrame:
     """Events of payloads (url, body, ...): url, platform and the event's fields. Other addresses are filtered before any parsing."""
     routed = payloads.withColumn("platform", is_payload_endpoint("url")).where("platform is not null and body is not null").select("url", "platform", "body")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"url": u, "platform": SHAPES[p].label, **e} for u, p, b in zip(frame["url"], frame["platform"], frame["body"], strict=True) for e in scan_payload(p, u, b, as_of_year)]
+            rows = [{"url": u, "platform": SHAPES[p].label, **e} for u, p, b in zip(frame["url"], frame["platform"], frame["body"], strict=True) for e in scan_payload(p, u, b, as_of_year, limits)]
             yield pd.DataFrame(rows, columns=["url", "platform", "kind", "conversation_id", "title", "time", "updated_at", "messages"])
 
     return routed.mapInPandas(run, f"url string, platform string, {_EVENT}")

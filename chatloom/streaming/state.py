@@ -88,11 +88,11 @@ def stream_longest_conversations(events: DataFrame) -> DataFrame:
     return x.groupBy("platform", "conversation_id").applyInPandasWithState(_fold_talks, _TALKS, _TALK_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, keys: list[str]):
-    """A foreachBatch function that keeps the newest row of each key in path/batch=N folders; rewriting a batch changes nothing."""
+def upsert_sink(path: str):
+    """A foreachBatch function that writes the rows of a batch, which holds one per key, to path/batch=N; rewriting a batch changes nothing."""
 
     def write(frame: DataFrame, batch: int) -> None:
-        frame.withColumn("cached_at", F.lit(batch).cast("long")).dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        frame.withColumn("cached_at", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return write
 
@@ -108,6 +108,28 @@ def ring(evidence: DataFrame, keep: int = EVIDENCE_RING) -> DataFrame:
     return evidence.orderBy(F.desc("captured_at"), F.desc("ord")).limit(keep)
 
 
-def exactly_once(events: DataFrame, keys: list[str], time: str = "event_time", replay: str = "15 seconds") -> DataFrame:
-    """A stream without the repeats that a sender makes within `replay`."""
-    return events.withWatermark(time, replay).dropDuplicatesWithinWatermark(keys)
+def exactly_once(events: DataFrame, keys: list[str], replay_ms: int = 15_000, expires: bool = True) -> DataFrame:
+    """A stream with the first row of each key, without the repeats that a sender makes within `replay_ms` of processing time; no row is too late.
+
+    expires false: a key is never forgotten (and a query that ends with its input ends).
+    """
+    kind = GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if expires and state.hasTimedOut:
+            state.remove()
+            return
+        rows = [x.head(1) for x in frames]
+        if not state.exists:
+            state.update((True,))
+            if expires:
+                state.setTimeoutDuration(replay_ms)
+            yield rows[0]
+
+    return events.groupBy(*keys).applyInPandasWithState(first, events.schema, "seen boolean", "append", kind)
+
+
+def save_stream(frame: DataFrame, path: str, checkpoint: str, every: str | None = SAVE_EVERY):
+    """Starts a query that saves what changed at most every `every` (None: what there is, and ends) in upsert_sink()'s form."""
+    writer = frame.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_sink(path))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chatloom.operators import messages as ms
 from chatloom.operators import render, sync, validate
 from chatloom.sources import files, pages
-from chatloom.sources.payloads import SHAPES, scan_payload, scan_payloads
+from chatloom.sources.payloads import SHAPES, Limits, scan_payload, scan_payloads
 
 
 def talk(platform, body, url="u"):
@@ -134,3 +134,74 @@ def test_downloads(spark):
     rows = [(1, "/home/AI Chat History/Grok/a.md", "data:text/markdown;base64," + base64.b64encode(body.encode()).decode(), True), (2, "/home/AI Chat History/Grok/b.md", "blob:x", False), (3, "/home/other/c.md", "", True)]
     (r,) = files.downloads(spark.createDataFrame(rows, "id long, filename string, url string, exists boolean")).collect()
     assert (r.relative_path, r.basename, r.platform_folder, r.platform, r.conversation_id) == ("Grok/a.md", "a.md", "Grok", "Grok", "x1")
+
+
+def test_payloads_are_searched_in_whole():
+    pair = [{"sender": "human", "text": "q"}, {"sender": "assistant", "text": "a"}]
+    wide = {"uuid": "w-1", "chat_messages": pair * 900}
+    deep = {"uuid": "d-1", "chat_messages": pair}
+    for _ in range(60):
+        deep = {"inner": [deep]}
+    assert len(talk("claude", wide)[0]["messages"]) == 1800 and len(talk("claude", deep)) == 1
+    turn = json.dumps([["wrb.fr", "x", json.dumps([[["c_deadbeef01", "r"], None, [["q"]], [[["rc_1", ["a"]]]], [1735689600, 0]]])]])
+    assert len(talk("gemini", ")]}'\n" + "1\n" * 200 + turn)) == 1
+    kinds = lambda body, limits: [e["kind"] for e in scan_payload("claude", "u", json.dumps(body), 2026, limits)]
+    assert kinds(deep, Limits(depth=12)) == ["skipped"] and "skipped" in kinds(wide, Limits(widest=1000))
+    assert scan_payload("claude", "u", "[" * 100000, 2026) == [] and scan_payload("claude", "u", '{"a":' * 900 + "1" + "}" * 900, 2026) in ([], [{"kind": "skipped", "conversation_id": "", "title": "", "time": "", "updated_at": "", "messages": []}])
+
+
+class Held:
+    """A key's state as a stream keeps it."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_times_of_a_stream_expire():
+    import pandas as pd
+
+    from chatloom.streaming import state
+
+    row = lambda time: iter([pd.DataFrame({"ord": [1], "timestamp": [time], "platform": ["Claude"], "title": ["t"], "updated_at": [""]})])
+    held = Held()
+    (first,) = state._fold_times(("c1",), row("2025-02-01"), held, True)
+    (same,) = state._fold_times(("c1",), row("2025-03-01"), held, True)
+    assert first.timestamp[0] == same.timestamp[0] == "2025-02-01" and held.timeout == 30 * 24 * 3600 * 1000
+    held.hasTimedOut = True
+    assert list(state._fold_times(("c1",), iter([]), held, True)) == [] and not held.exists
+    held.hasTimedOut = False
+    (again,) = state._fold_times(("c1",), row("2025-03-01"), held, True)
+    assert again.timestamp[0] == "2025-03-01"
+
+
+def test_paths_of_long_chains_branches_and_cycles(spark):
+    from chatloom.operators import graph
+
+    chain = [(1, f"n{k}", f"n{k - 1}" if k else None) for k in range(1000)] + [(1, "side", "n500")]
+    odd = [(2, "a", "b"), (2, "b", "c"), (2, "c", "a"), (3, "x", "gone"), (None, "q", None), (4, "r", "s"), (4, "s", None), (4, "s", None)]
+    nodes = spark.createDataFrame(chain + odd, "conv_id long, node string, parent string")
+    starts = spark.createDataFrame([(1, "n999"), (2, "a"), (3, "x"), (4, "r"), (4, "missing")], "conv_id long, node string")
+    got = {(r.conv_id, r.node): r.depth for r in graph.paths(nodes, starts).collect()}
+    assert got == {(1, f"n{k}"): 999 - k for k in range(1000)} | {(2, "a"): 0, (2, "b"): 1, (2, "c"): 2, (3, "x"): 0, (4, "r"): 0, (4, "s"): 1}
+    assert graph.paths(nodes.limit(0), starts).count() == 0
+
+
+def test_alignment_and_enrichment_give_each_row_once(spark):
+    m = spark.createDataFrame([(1, 0, "user", "a", ""), (1, 0, "user", "b", ""), (None, 1, "user", "c", ""), (1, None, "assistant", "d", "x")], "conv_id long, seq long, role string, content string, time string")
+    source = spark.createDataFrame([(1, 0, "user", "t0"), (1, 1, "user", "t1"), (None, 0, "user", "t2")], "conv_id long, seq long, role string, time string")
+    assert sorted((r.content, r.time) for r in ms.align_times(m, source).collect()) == [("a", "t0"), ("b", "t1"), ("c", "t2"), ("d", "x")]
+    talks = spark.createDataFrame([(1, "Claude", "k", "", ""), (2, "Claude", "", "", "")], "conv_id long, platform string, conversation_id string, title string, conversation_time string")
+    cached = spark.createDataFrame([("Claude", "k", "old", "t", 1), ("Claude", "k", "new", None, 2), ("Claude", "k", "new", None, 2)], "platform string, conversation_id string, title string, conversation_time string, cached_at long")
+    assert sorted((r.conv_id, r.conversation_id, r.title, r.conversation_time) for r in ms.enrich(talks, cached).collect()) == [(1, "k", "new", ""), (2, "k", "new", "")]
