@@ -5,11 +5,15 @@ The SQL is the conversation itself: what comes out of a capture must be what wen
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown
+from ..runtime import shared_folder
 from ..sources import pages, payloads
+from ..streaming import state
 from . import derived as d
 from .catalogue import _WS, AS_OF, md5, meta, query, s_sub, s_trim, said
 
@@ -34,8 +38,11 @@ def _talks(spark: SparkSession, sf_dir: str, message: Column, name: str = "messa
 
 
 def _read(x: DataFrame, url: Column, body: Column) -> DataFrame:
-    events = payloads.scan_payloads(x.select(url.alias("url"), body.alias("body")), AS_OF.year).where("kind = 'conversation'")
-    rows = events.select("platform", "conversation_id", "title", "time", F.posexplode("messages").alias("ord", "m"))
+    return _rows(payloads.scan_payloads(x.select(url.alias("url"), body.alias("body")), AS_OF.year))
+
+
+def _rows(events: DataFrame) -> DataFrame:
+    rows = events.where("kind = 'conversation'").select("platform", "conversation_id", "title", "time", F.posexplode("messages").alias("ord", "m"))
     return rows.select("platform", "conversation_id", "title", "time", "ord", "m.role", md5("m.content").alias("content_md5"), F.col("m.time").alias("message_time"))
 
 
@@ -50,15 +57,31 @@ def _iso() -> Column:
 _LATER_OR_OWN = f"CASE WHEN conversation_time <> '' THEN conversation_time ELSE {_FIRST} END"
 
 
-@query(_sql("Claude", _LATER_OR_OWN, "title"))
-def claude_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chat_messages with content parts, thinking among them."""
+def _claude(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
     parts = F.array(part("thinking", F.lit("to be left out")), part("text", F.col("content")))
     message = F.struct(F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), _iso().alias("created_at"), parts.alias("content"))
     x = _talks(spark, sf_dir, message, "chat_messages")
     body = F.to_json(F.struct(F.col("conversation_id").alias("uuid"), F.col("title").alias("name"), F.nullif("conversation_time", F.lit("")).alias("created_at"), "chat_messages"))
-    return _read(x, F.concat(F.lit("https://claude.ai/api/organizations/o/chat_conversations/"), "conversation_id"), body)
+    return x.select(F.concat(F.lit("https://claude.ai/api/organizations/o/chat_conversations/"), "conversation_id").alias("url"), body.alias("body"))
+
+
+@query(_sql("Claude", _LATER_OR_OWN, "title"))
+def claude_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat_messages with content parts, thinking among them."""
+    return _rows(payloads.scan_payloads(_claude(spark, sf_dir), AS_OF.year))
+
+
+@query(_sql("Claude", _LATER_OR_OWN, "title"))
+def stream_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claude_payloads as a stream: captures land as files, each captured twice, and their events are saved once."""
+    root = f"{shared_folder(spark)}/chatloom-captures-{uuid.uuid4().hex}"
+    captured = _claude(spark, sf_dir)
+    captured.union(captured).write.json(f"{root}/landed")
+    landed = spark.readStream.schema(captured.schema).json(f"{root}/landed")
+    events = state.exactly_once(payloads.scan_payloads(landed, AS_OF.year).where("kind = 'conversation'"), ["platform", "conversation_id"], expires=False)
+    events.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/events").awaitTermination()
+    return _rows(spark.read.schema(events.schema).parquet(f"{root}/events"))
 
 
 @query(_sql("Grok", _FIRST))
