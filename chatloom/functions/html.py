@@ -25,9 +25,9 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 # Block elements.
-BLOCK_TAGS = set("address article aside blockquote br details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+BLOCK_TAGS = {"address", "article", "aside", "blockquote", "br", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 # Elements that hold nothing to read.
-SKIP_TAGS = set("button canvas iframe input noscript script select style svg textarea".split())
+SKIP_TAGS = {"button", "canvas", "iframe", "input", "noscript", "script", "select", "style", "svg", "textarea"}
 SKIP_ROLES = {"button", "navigation", "menu"}
 # Labels of buttons that copying leaves in a text.
 UI_CHROME_TEXT = ("copy", "copy code", "copy table", "copy to clipboard", "copied", "copied to clipboard", "复制", "复制代码", "复制表格", "复制到剪贴板", "已复制")
@@ -44,6 +44,7 @@ TEX_SYMBOLS = {
     r"\delta": "δ", r"\Delta": "Δ", r"\lambda": "λ", r"\mu": "μ", r"\sum": "∑", r"\prod": "∏", r"\sqrt": "√", r"\cdot": "·", r"\times": "×", r"\div": "÷",
     r"\leq": "≤", r"\geq": "≥", r"\neq": "≠", r"\approx": "≈", r"\pm": "±", r"\to": "→", r"\rightarrow": "→", r"\leftarrow": "←",
 }
+# Marks of reasoning, and signs of mathematics.
 REASONING = re.compile(r"(?:^|[\s_-])(?:think|thinking|reasoning|cot|chain-of-thought)(?:[\s_-]|$)|ds-think-content|模型思考|思考过程|深度思考")
 MATH_SIGNS = re.compile(r"[∮∫πθΘεαβγδΔλμ∑∏√≤≥≠≈±→←∞∂∇·×÷]|\\[A-Za-z]+")
 _SPACE = "\t\n\x0b\f\r    -     　﻿"

@@ -131,6 +131,7 @@ GENERIC = (
     "user-query",
     "model-response",
 )
+# Elements of users' and assistants' messages, of their text, and of each platform's own pages below.
 _USER = ("[data-testid='user-message']", "[data-testid*='user' i][data-testid*='message' i]", "[data-message-author-role='user']", "[data-author-role='user']", "[data-role='user']")
 _ASSISTANT = ("[data-testid='assistant-message']", "[data-testid*='assistant' i][data-testid*='message' i]", "[data-testid*='assistant' i][data-testid*='response' i]", "[data-message-author-role='assistant']", "[data-author-role='assistant']", "[data-role='assistant']", ".assistant-message")
 _BODY = (".message-content", ".prose", ".markdown", "[data-testid='message-content']")

@@ -11,7 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -33,13 +33,13 @@ class Limits:
 WHOLE = Limits()
 
 # Keys by what they hold, in the order in which they are tried.
-TEXT_KEYS = "text markdown body content message value response prompt answer fragments parts content_block contentBlock content_blocks contentBlocks content_blocks_v2 contentBlocksV2 content_obj contentObj text_block textBlock".split()
-STRUCTURED_TEXT_KEYS = "content text markdown body message value response prompt answer fragments parts content_block contentBlock content_blocks contentBlocks content_blocks_v2 contentBlocksV2 content_obj contentObj text_block textBlock data".split()
-MESSAGE_CREATED = "inserted_at insertedAt created_at createdAt create_time createTime server_create_time serverCreateTime create_timestamp createTimestamp timestamp time date".split()
-ID_KEYS = "uuid conversation_uuid conversationUuid conversation_id conversationId chat_id chatId thread_id threadId id".split()
-TITLE_KEYS = "title name summary topic subject conversation_title conversationTitle chat_title chatTitle".split()
-WRAPPERS = "message msg chat_message chatMessage message_info messageInfo message_detail messageDetail payload item entity".split()
-SESSIONS = "chat_session chatSession session conversation".split()
+TEXT_KEYS = ("text", "markdown", "body", "content", "message", "value", "response", "prompt", "answer", "fragments", "parts", "content_block", "contentBlock", "content_blocks", "contentBlocks", "content_blocks_v2", "contentBlocksV2", "content_obj", "contentObj", "text_block", "textBlock")
+STRUCTURED_TEXT_KEYS = ("content", "text", "markdown", "body", "message", "value", "response", "prompt", "answer", "fragments", "parts", "content_block", "contentBlock", "content_blocks", "contentBlocks", "content_blocks_v2", "contentBlocksV2", "content_obj", "contentObj", "text_block", "textBlock", "data")
+MESSAGE_CREATED = ("inserted_at", "insertedAt", "created_at", "createdAt", "create_time", "createTime", "server_create_time", "serverCreateTime", "create_timestamp", "createTimestamp", "timestamp", "time", "date")
+ID_KEYS = ("uuid", "conversation_uuid", "conversationUuid", "conversation_id", "conversationId", "chat_id", "chatId", "thread_id", "threadId", "id")
+TITLE_KEYS = ("title", "name", "summary", "topic", "subject", "conversation_title", "conversationTitle", "chat_title", "chatTitle")
+WRAPPERS = ("message", "msg", "chat_message", "chatMessage", "message_info", "messageInfo", "message_detail", "messageDetail", "payload", "item", "entity")
+SESSIONS = ("chat_session", "chatSession", "session", "conversation")
 REASONING_MARK = re.compile(r"(?:^|[\s_-])(?:think|thinking|reasoning|cot|chain-of-thought)(?:[\s_-]|$)|模型思考|思考过程|深度思考", re.I)
 
 
@@ -48,11 +48,11 @@ class Shape:
     """Keys of one platform's payloads. strict_time: message times are the only source of a conversation's time."""
 
     label: str
-    role_keys: list[str] = field(default_factory=lambda: "author sender sender_type from role type creator".split())
-    text_keys: list[str] = field(default_factory=lambda: "content text markdown body message value response prompt answer".split())
-    id_keys: list[str] = field(default_factory=lambda: list(ID_KEYS))
-    message_time: list[str] = field(default_factory=lambda: "created_at createdAt create_time createTime timestamp time date updated_at updatedAt update_time updateTime".split())
-    conversation_time: list[str] = field(default_factory=lambda: "created_at createdAt create_time createTime conversation_time conversationTime inserted_at insertedAt timestamp updated_at updatedAt".split())
+    role_keys: tuple[str, ...] = ("author", "sender", "sender_type", "from", "role", "type", "creator")
+    text_keys: tuple[str, ...] = ("content", "text", "markdown", "body", "message", "value", "response", "prompt", "answer")
+    id_keys: tuple[str, ...] = ID_KEYS
+    message_time: tuple[str, ...] = ("created_at", "createdAt", "create_time", "createTime", "timestamp", "time", "date", "updated_at", "updatedAt", "update_time", "updateTime")
+    conversation_time: tuple[str, ...] = ("created_at", "createdAt", "create_time", "createTime", "conversation_time", "conversationTime", "inserted_at", "insertedAt", "timestamp", "updated_at", "updatedAt")
     roles: tuple[tuple[str, str], ...] = ()
     any_text: bool = False  # the first key that gives text counts, not the first that is there
     wrapped: bool = False
@@ -62,17 +62,17 @@ class Shape:
     first_time: bool = True  # of messages the first time, else the smallest
 
 
-_GROK_TEXT = "message text markdown content body value response prompt answer parts fragments content_block contentBlock".split()
-_GROK_TIME = "createTime createdAt created_at create_time insertedAt inserted_at conversationTime conversation_time timestamp time date".split()
+_GROK_TEXT = ("message", "text", "markdown", "content", "body", "value", "response", "prompt", "answer", "parts", "fragments", "content_block", "contentBlock")
+_GROK_TIME = ("createTime", "createdAt", "created_at", "create_time", "insertedAt", "inserted_at", "conversationTime", "conversation_time", "timestamp", "time", "date")
 SHAPES = {
     "chatgpt": Shape("ChatGPT"),
     "claude": Shape("Claude"),
     "gemini": Shape("Gemini"),
     "grok": Shape(
         "Grok",
-        role_keys="sender role author from creator type".split(),
+        role_keys=("sender", "role", "author", "from", "creator", "type"),
         text_keys=_GROK_TEXT,
-        id_keys="conversationId conversation_id chatId chat_id threadId thread_id id".split(),
+        id_keys=("conversationId", "conversation_id", "chatId", "chat_id", "threadId", "thread_id", "id"),
         message_time=_GROK_TIME,
         conversation_time=_GROK_TIME,
         roles=((r"^(human|user|client|customer|prompt)$", "user"), (r"^(assistant|model|bot|grok|ai)$", "assistant"), (r"^system$", "system")),
@@ -82,10 +82,10 @@ SHAPES = {
     ),
     "deepseek": Shape(
         "DeepSeek",
-        role_keys="role sender sender_type senderType from author type creator".split(),
+        role_keys=("role", "sender", "sender_type", "senderType", "from", "author", "type", "creator"),
         text_keys=STRUCTURED_TEXT_KEYS,
         message_time=MESSAGE_CREATED,
-        conversation_time="created_at createdAt create_time createTime inserted_at insertedAt conversation_time conversationTime date_created dateCreated creation_time creationTime born_at bornAt".split(),
+        conversation_time=("created_at", "createdAt", "create_time", "createTime", "inserted_at", "insertedAt", "conversation_time", "conversationTime", "date_created", "dateCreated", "creation_time", "creationTime", "born_at", "bornAt"),
         any_text=True,
         sessions=True,
         own_ids=True,
@@ -93,11 +93,11 @@ SHAPES = {
     ),
     "doubao": Shape(
         "Doubao",
-        role_keys="user_type userType sender_type senderType role sender from author type creator".split(),
+        role_keys=("user_type", "userType", "sender_type", "senderType", "role", "sender", "from", "author", "type", "creator"),
         text_keys=STRUCTURED_TEXT_KEYS,
-        id_keys="conversation_id conversationId local_conversation_id localConversationId section_id sectionId chat_id chatId thread_id threadId id".split(),
+        id_keys=("conversation_id", "conversationId", "local_conversation_id", "localConversationId", "section_id", "sectionId", "chat_id", "chatId", "thread_id", "threadId", "id"),
         message_time=MESSAGE_CREATED,
-        conversation_time=[],
+        conversation_time=(),
         roles=((r"^1$", "user"), (r"^2$", "assistant"), (r"^3$", "system"), (r"human|user|customer|prompt", "user"), (r"aibot|assistant|bot|doubao|model|ai", "assistant"), (r"system", "system")),
         any_text=True,
         wrapped=True,
