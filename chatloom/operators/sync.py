@@ -124,12 +124,12 @@ def missing_platforms(files: DataFrame, required: DataFrame) -> DataFrame:
 def unique_paths(files: DataFrame, existing: DataFrame) -> DataFrame:
     """files (path, ...) with target: the path, or with the first free counter before .md where it is taken by an existing file or an earlier one."""
     stem = F.regexp_replace("path", r"(?i)\.md\z", "")
-    # Counters up to (files of that path + existing files of its stem) always leave one free.
     taken = existing.select(F.regexp_replace(F.regexp_replace("path", r"(?i)\.md\z", ""), r" \([0-9]+\)\z", "").alias("stem"), F.when(F.col("path").rlike(r"(?i) \([0-9]+\)\.md\z"), F.regexp_extract("path", r"(?i) \(([0-9]{1,9})\)\.md\z", 1).try_cast("int")).otherwise(0).alias("n"))
     taken = taken.groupBy("stem").agg(F.array_sort(F.collect_set("n")).alias("taken"))
     x = files.withColumn("stem", stem).withColumn("place", F.row_number().over(W.partitionBy("path").orderBy(*[c for c in files.columns if c != "path"])) - 1).join(taken, "stem", "left")
-    free = F.filter(F.sequence(F.lit(0), F.col("place") + F.coalesce(F.size("taken"), F.lit(0))), lambda n: ~F.array_contains(F.coalesce("taken", F.array().cast("array<int>")), n))
-    n = F.element_at(free, F.col("place") + 1)
+    # Of the sorted counters taken, the k-th (from 0) stands before the wanted free one if fewer than place + 1 are free below it.
+    below = F.filter(F.transform(F.coalesce("taken", F.array().cast("array<int>")), lambda t, k: t - k), lambda free: free <= F.col("place"))
+    n = (F.col("place") + F.size(below)).cast("int")
     return x.withColumn("target", F.when(n == 0, F.col("path")).otherwise(F.concat("stem", F.lit(" ("), n.cast("string"), F.lit(").md")))).drop("stem", "place", "taken")
 
 

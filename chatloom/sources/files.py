@@ -85,7 +85,7 @@ def write_markdown(docs: DataFrame, folder: str, conflict: str = "uniquify") ->
     x = docs.select(clean_path("path").alias("path"), "markdown").where("path <> ''")
     if conflict == "uniquify":
         os.makedirs(plain, exist_ok=True)
-        existing = scan_markdown(spark, plain).select(F.col("relative_path").alias("path"))
+        existing = scan_markdown(spark, f"file://{os.path.abspath(plain)}").select(F.col("relative_path").alias("path"))
         x = unique_paths(x, existing)
     else:
         x = x.groupBy("path").agg(F.max("markdown").alias("markdown")).withColumn("target", F.col("path"))

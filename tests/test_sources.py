@@ -205,3 +205,18 @@ def test_alignment_and_enrichment_give_each_row_once(spark):
     talks = spark.createDataFrame([(1, "Claude", "k", "", ""), (2, "Claude", "", "", "")], "conv_id long, platform string, conversation_id string, title string, conversation_time string")
     cached = spark.createDataFrame([("Claude", "k", "old", "t", 1), ("Claude", "k", "new", None, 2), ("Claude", "k", "new", None, 2)], "platform string, conversation_id string, title string, conversation_time string, cached_at long")
     assert sorted((r.conv_id, r.conversation_id, r.title, r.conversation_time) for r in ms.enrich(talks, cached).collect()) == [(1, "k", "new", ""), (2, "k", "new", "")]
+
+
+def test_unique_paths_take_the_free_counters(spark):
+    files_ = spark.createDataFrame([("a/x.md", k) for k in range(7)] + [("a/y.md", 0), ("a/y.md", 1)], "path string, k long")
+    existing = spark.createDataFrame([(p,) for p in ("a/x.md", "a/x (2).md", "a/x (3).md", "a/x (6).md", "a/x (90).md", "a/y (1).md")], "path string")
+    got = {(r.path, r.k): r.target for r in sync.unique_paths(files_, existing).collect()}
+    assert [got["a/x.md", k] for k in range(7)] == [f"a/x ({n}).md" for n in (1, 4, 5, 7, 8, 9, 10)]
+    assert [got["a/y.md", k] for k in range(2)] == ["a/y.md", "a/y (2).md"]
+
+
+def test_the_first_plausible_time_of_a_list():
+    from chatloom.sources.evidence import nearby_time
+
+    assert nearby_time(["x", 7, True, [1735689600, 5], 1735776000], 2026) == "2025-01-01T00:00:00.000Z"
+    assert nearby_time([[1, 2, 3, 1735689600], [], "1735689600"], 2026) == "" and nearby_time(None, 2026) == ""
