@@ -32,6 +32,7 @@ from .hashing import BLANK, LOWER, byte_hashes, span_hashes, text_slices, word_s
 from .workspace import Workspace
 
 CHUNK_BYTES = 16 << 20
+BATCH_ROWS = 1 << 16
 ROUNDS = 1
 ZIPF = 2.7
 MARK = "▁".encode()  # stands before every word in the vocabulary's pieces
@@ -64,6 +65,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = np.zeros(0, np.uint64)  # the chunk's words, sorted, and each one's index and training count
     index = np.zeros(0, np.int64)
     count = np.zeros(0, np.int64)
+    spelt: list[pa.Array] = []  # the words' texts, in order of their indices
     held = 0
 
     def row(size: int, **columns) -> pa.RecordBatch:
@@ -71,8 +73,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns["chunk"] = pa.array(np.full(size, (part << 24) + k), pa.int64())
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
 
-    def words() -> pa.RecordBatch:
-        return row(len(known), h=pa.array(known.astype(np.int64)), n_words=pa.array(index, pa.int64()), c=pa.array(count, pa.int64()))
+    def words() -> Iterator[pa.RecordBatch]:
+        texts = pa.concat_arrays(spelt)
+        for a in range(0, len(known), BATCH_ROWS):
+            own = slice(a, a + BATCH_ROWS)
+            yield row(len(known[own]), h=pa.array(known[own].astype(np.int64)), n_words=pa.array(index[own], pa.int64()), word=texts.take(pa.array(index[own])), c=pa.array(count[own], pa.int64()))
 
     for batch in batches:
         for rows, buffer, begins in text_slices(batch):
@@ -91,9 +96,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             adds = np.bincount(inverse, weights=np.repeat(trains, np.diff(first)), minlength=len(distinct)).astype(np.int64)
             count[place[old]] += adds[old]
             raw = low.tobytes()
-            texts = [raw[a:b] for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
-            if texts:  # a word's text goes out once per chunk, with no count
-                yield row(len(texts), h=pa.array(distinct[fresh].astype(np.int64)), word=pa.array(texts, pa.binary()))
+            spelt.append(pa.array([raw[a:b] for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)], pa.binary()))
             known = np.concatenate([known, distinct[fresh]])
             index = np.concatenate([index, number[fresh]])
             count = np.concatenate([count, adds[fresh]])
@@ -108,10 +111,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield row(rows.num_rows, doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), n_words=pa.array(np.diff(first), pa.int64()), at=pa.array(at_rows, pa.binary()), times=pa.array(times_rows, pa.binary()))
             held += len(buffer)
             if held >= CHUNK_BYTES:
-                yield words()
-                known, index, count, held, k = known[:0], index[:0], count[:0], 0, k + 1
+                if len(known):
+                    yield from words()
+                known, index, count, spelt, held, k = known[:0], index[:0], count[:0], [], 0, k + 1
     if len(known):
-        yield words()
+        yield from words()
 
 
 def _piece_counts(path: str | None, weights: np.ndarray):
@@ -226,7 +230,7 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, work: Workspace |
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     chunks = work.save(docs.mapInArrow(_chunks, _CHUNKS), "chunks")
     texts = chunks.where("h is not null")
-    counts = texts.groupBy("h").agg(F.max("word").alias("word"), F.sum("c").alias("c"))
+    counts = texts.select("h", "word", "c").repartition("h").groupBy("h").agg(F.max("word").alias("word"), F.sum("c").alias("c"))
     words = work.save(counts, "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = chunks.where("h is null and not held_out").count()
@@ -242,7 +246,7 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, work: Workspace |
         weights = np.log(times / times.sum())
     scored = work.save(words.select("h", "word", "c").mapInArrow(_marginals(vocabulary_path, weights[:-1]), "h long, c long, lp double"), "scored")
 
-    found = texts.where("c is not null").select("chunk", F.col("n_words").cast("int").alias("number"), "h").join(scored, "h").select(F.col("chunk").alias("of"), "number", "c", "lp")
+    found = texts.select("chunk", F.col("n_words").cast("int").alias("number"), "h").join(scored, "h").select(F.col("chunk").alias("of"), "number", "c", "lp")
     own = chunks.where("h is null").select("chunk", "doc_id", "held_out", "n_words", "at", "times")
     end_lp, base_end = weights[-1] / np.log(10), np.log10((ends + 1) / (n + v + 1))
 

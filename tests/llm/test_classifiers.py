@@ -135,6 +135,46 @@ def test_base_scores_against_a_plain_model(spark, docs, texts, no_docs):
     assert lattice.score(no_docs.withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_a_chunk_lists_each_word_once(docs):
+    """With its text and count in one row."""
+    from collections import Counter
+
+    rows = docs.coalesce(1).select("doc_id", "text", F.lit(False).alias("held_out"))
+    listed = [r for r in rows.mapInArrow(lattice._chunks, lattice._CHUNKS).collect() if r.h is not None]
+    counts = Counter(w for r in rows.collect() for w in words_of(r.text))
+    assert sorted((bytes(r.word).decode(), r.c) for r in listed if r.word is not None and r.c is not None) == sorted(counts.items())
+    assert len(listed) == len(counts) and sorted(r.n_words for r in listed) == list(range(len(counts)))
+
+
+@pytest.mark.parametrize("chunk, batch", [(1, 1), (100, 3), (3000, 7), (1 << 40, 1 << 16)])
+def test_a_chunks_words_rebuild_its_texts(texts, monkeypatch, chunk, batch):
+    """Whatever the sizes of chunks, slices and batches; no batch of words is larger than BATCH_ROWS."""
+    from collections import Counter, defaultdict
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lattice, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lattice, "BATCH_ROWS", batch)
+    monkeypatch.setattr(lattice, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(lattice, "text_slices", lambda rows, slices=lattice.text_slices: slices(rows, budget=500))
+    ids = list(range(len(texts)))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([i % 4 == 1 for i in ids])], names=["doc_id", "text", "held_out"])
+    words, own, counts = defaultdict(dict), {}, defaultdict(Counter)
+    for out in lattice._chunks(iter([rows.slice(0, 20), rows.slice(20, 0), rows.slice(20)])):
+        for r in out.to_pylist():
+            if r["h"] is None:
+                own[r["doc_id"]] = r
+            else:
+                assert out.num_rows <= batch and r["n_words"] not in words[r["chunk"]]
+                words[r["chunk"]][r["n_words"]] = (r["word"].decode(), r["c"])
+    for i, text in enumerate(texts):
+        numbers, times = (np.frombuffer(own[i][c], np.uint32).tolist() for c in ("at", "times"))
+        of = words[own[i]["chunk"]]
+        assert {of[n][0]: t for n, t in zip(numbers, times, strict=True)} == Counter(words_of(text)) and own[i]["n_words"] == len(words_of(text))
+        if i % 4 != 1:
+            counts[own[i]["chunk"]].update(words_of(text))
+    assert all(dict(of.values()) == {w: counts[k][w] for w, _ in of.values()} and len(dict(of.values())) == len(of) for k, of in words.items())
+
+
 def test_marginals_sum_over_all_segmentations():
     pieces = [None, b"a", b"b", b"ab", lattice.MARK, lattice.MARK + b"a", *[bytes([c]) for c in range(256)]]
     weights = np.log(np.r_[1e-9, 0.2, 0.1, 0.05, 0.1, 0.15, np.full(256, 0.4 / 256)])
