@@ -49,3 +49,16 @@ def test_stages_keep_columns_and_take_effect(spark, tables):
 
 def test_the_joins_constants():
     assert (jaccard_join.PERCENT, jaccard_join.WIDTH) == (75, 5)
+
+
+def test_written_tables_give_the_drivers_freed_memory_back(spark, monkeypatch):
+    """The driver's JVM is asked after a table is written, but not after each of many small ones."""
+    from chatloom.llm import workspace
+
+    said = []
+    monkeypatch.setattr(workspace, "trim_driver", lambda spark, trim=workspace.trim_driver: said.append(trim(spark)))
+    monkeypatch.setattr(workspace, "_trimmed", [float("-inf")])
+    monkeypatch.setattr(workspace, "TRIM_S", 1000.0)
+    work = workspace.Workspace(spark, "test")
+    assert [work.save(spark.range(n), f"range-{n}").count() for n in (3, 4)] == [3, 4]
+    assert "Trim native heap" in said[0] and said[1] is None
