@@ -23,9 +23,7 @@ TTL_MS = 30 * 24 * 3600 * 1000
 SAVE_EVERY = "2 seconds"
 
 _TIMES = "conversation_id string, platform string, timestamp string, title string, updated_at string"
-_TIME_STATE = "timestamp string, platform string, title string, updated_at string"
-_TALKS = "platform string, conversation_id string, source_url string, title string, conversation_time string, messages array<struct<role: string, content: string, time: string>>"
-_TALK_STATE = "source_url string, title string, conversation_time string, messages array<struct<role: string, content: string, time: string>>"
+_TIME_STATE = "timestamp string, timestamp_ord long, platform string, title string, title_ord long, updated_at string, updated_ord long"
 
 
 def earliest_times(events: DataFrame) -> DataFrame:
@@ -43,24 +41,27 @@ def _fold_times(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, e
     if expires and state.hasTimedOut:
         state.remove()
         return
-    time, platform, title, updated = state.get if state.exists else (None, "", "", "")
-    for x in frames:
+    time, at, platform, title, title_at, updated, updated_at = state.get if state.exists else (None, 0, "", "", 0, "", 0)
+    for x in frames:  # a key's rows may be spread over frames in any order
         for r in x.sort_values("ord").itertuples():
-            if time is None or r.timestamp < time:
-                time, platform = r.timestamp, r.platform
-            title, updated = title or r.title or "", r.updated_at or updated
-    state.update((time, platform, title, updated))
+            if time is None or (r.timestamp, r.ord) < (time, at):
+                time, at, platform = r.timestamp, r.ord, r.platform
+            if r.title and (not title or r.ord < title_at):
+                title, title_at = r.title, r.ord
+            if r.updated_at and (not updated or r.ord >= updated_at):
+                updated, updated_at = r.updated_at, r.ord
+    state.update((time, at, platform, title, title_at, updated, updated_at))
     if expires:
         state.setTimeoutDuration(TTL_MS)
     yield pd.DataFrame({"conversation_id": [key[0]], "platform": [platform], "timestamp": [time], "title": [title], "updated_at": [updated]})
 
 
 def stream_earliest_times(events: DataFrame, expires: bool = True) -> DataFrame:
-    """earliest_times() of a stream, in update mode: a row per conversation that a batch touched.
+    """earliest_times() of a stream, in update mode: a row per conversation that a batch touched. ord, a whole number, tells first and last in whatever order events arrive.
 
     Expiry by processing time keeps a query open for ever; for one that ends with its input, turn it off.
     """
-    x = events.withColumn("timestamp", normalize_timestamp("timestamp")).where("conversation_id <> '' and timestamp <> ''")
+    x = events.withColumn("timestamp", normalize_timestamp("timestamp")).where("conversation_id <> '' and timestamp <> ''").withColumn("ord", F.coalesce(F.col("ord").cast("long"), F.lit(-(2**63))))
     return x.groupBy("conversation_id").applyInPandasWithState(lambda key, frames, held: _fold_times(key, frames, held, expires), _TIMES, _TIME_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout)
 
 
@@ -71,21 +72,9 @@ def longest_conversations(events: DataFrame) -> DataFrame:
     return x.groupBy("platform", "conversation_id").agg(last("source_url"), last("title"), last("conversation_time"), F.max_by("messages", F.struct(F.size("messages"), "ord")).alias("messages"))
 
 
-def _fold_talks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    url, title, time, messages = state.get if state.exists else ("", "", "", [])
-    for x in frames:
-        for r in x.sort_values("ord").itertuples():
-            url, title, time = r.source_url or url, r.title or title, r.conversation_time or time
-            if len(r.messages) >= len(messages):
-                messages = [dict(m) if isinstance(m, dict) else m.asDict() for m in r.messages]
-    state.update((url, title, time, messages))
-    yield pd.DataFrame({"platform": [key[0]], "conversation_id": [key[1]], "source_url": [url], "title": [title], "conversation_time": [time], "messages": [messages]})
-
-
 def stream_longest_conversations(events: DataFrame) -> DataFrame:
-    """longest_conversations() of a stream, in update mode."""
-    x = events.where("conversation_id <> '' and platform <> '' and size(messages) > 0")
-    return x.groupBy("platform", "conversation_id").applyInPandasWithState(_fold_talks, _TALKS, _TALK_STATE, "update", GroupStateTimeout.NoTimeout)
+    """longest_conversations() of a stream, in update mode: a native aggregate, so that no Python holds the messages and ord alone tells which is last."""
+    return longest_conversations(events)
 
 
 def upsert_sink(path: str):
