@@ -100,22 +100,13 @@ def ring(evidence: DataFrame, keep: int = EVIDENCE_RING) -> DataFrame:
 def exactly_once(events: DataFrame, keys: list[str], replay_ms: int = 15_000, expires: bool = True) -> DataFrame:
     """A stream with the first row of each key, without the repeats that a sender makes within `replay_ms` of processing time; no row is too late.
 
-    expires false: a key is never forgotten (and a query that ends with its input ends).
+    Native, so that rows never pass through Python and the state holds keys only. A key is forgotten in a later batch than
+    the first that begins `replay_ms` after it; expires false: never (and a query that ends with its input ends).
     """
-    kind = GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout
-
-    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if expires and state.hasTimedOut:
-            state.remove()
-            return
-        rows = [x.head(1) for x in frames]
-        if not state.exists:
-            state.update((True,))
-            if expires:
-                state.setTimeoutDuration(replay_ms)
-            yield rows[0]
-
-    return events.groupBy(*keys).applyInPandasWithState(first, events.schema, "seen boolean", "append", kind)
+    if not expires:
+        return events.dropDuplicates(keys)
+    at = events.withColumn("_at", F.current_timestamp()).withWatermark("_at", f"{(replay_ms + 1) // 2} milliseconds")
+    return at.dropDuplicatesWithinWatermark(keys).drop("_at")
 
 
 def save_stream(frame: DataFrame, path: str, checkpoint: str, every: str | None = SAVE_EVERY):
